@@ -1,8 +1,8 @@
 """The registry of queries over the driver's tables and their SQL."""
 
-from ..operators import analytics
+from ..operators import analytics, casework, knowledge, text
 
-MODULES = (analytics,)
+MODULES = (analytics, knowledge, casework, text)
 
 
 def registered() -> dict:

@@ -105,10 +105,18 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     x = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
+    # a text that an earlier document has as a whole is covered as a whole; the index needs the first one only
+    forms = x.select("doc", F.xxhash64("text").alias("text_hash"), F.md5(F.col("text").cast("binary")).alias("md5"), F.octet_length("text").cast("long").alias("size"))
+    forms = scratch.save(forms.withColumn("h", F.xxhash64("doc")), "forms")
+    first = forms.groupBy("md5", "size").agg(F.min("doc").alias("first"))
+    # the sieve may let a copy through, which does no harm
+    firsts = spark.sparkContext.broadcast(build_sieve(first.select(F.xxhash64("first").alias("h")), "h"))
+    copies = forms.join(first, ["md5", "size"]).filter(f"doc > first AND size >= {length}").selectExpr("doc", "text_hash", "0L AS a", "size AS b")
     borders = sorted(set(x.approxQuantile("doc", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
 
     def suffixes(parts):
         for b in parts:
+            b = b.filter(pa.array(in_sieve(firsts.value, b.column(2).to_numpy())))
             doc, keys = [], []
             for d, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1))):
                 k = np.unique(anchors(t, length)[0])
@@ -125,7 +133,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
             batch = batch.filter(F.col("doc") >= edges[k])
         if edges[k + 1] is not None:
             batch = batch.filter(F.col("doc") < edges[k + 1])
-        got = family.add(batch.mapInArrow(suffixes, "key long, doc long"), last=k == len(edges) - 2)
+        got = family.add(batch.withColumn("h", F.xxhash64("doc")).mapInArrow(suffixes, "key long, doc long"), last=k == len(edges) - 2)
         shared = got if shared is None else shared.union(got)
     keys = scratch.save(shared.distinct().groupBy("doc").agg(F.collect_list("key").alias("keys")), "keys")
     for _, name, _ in family.levels:
@@ -156,7 +164,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     likely = x.withColumn("h", F.xxhash64("doc")).mapInArrow(sieved, "doc long, text string").withColumn("text_hash", F.xxhash64("text"))
     places = likely.join(keys, "doc").select("doc", "text", "text_hash", "keys").mapInArrow(contexts, "key long, bytes binary, lead int, doc long, text_hash long, at long")
     places = scratch.save(places.withColumn("form", F.xxhash64("bytes", "lead")), "places")
-    forms = places.groupBy("key", "form").agg(F.min("doc").alias("low"), F.first("bytes").alias("bytes"))
+    contents = places.groupBy("key", "form").agg(F.min("doc").alias("low"), F.first("bytes").alias("bytes"))
 
     def settled(parts):
         for t, _ in whole_groups(parts, ["key"]):
@@ -176,10 +184,10 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
             end = np.append(new[1:], len(row))
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[row[new]], form[row[new]], inner[new], end - new, least[new])], ["key", "form", "from", "windows", "least"])
 
-    runs = forms.repartition(n, "key").sortWithinPartitions("key").mapInArrow(settled, "key long, form long, `from` long, windows long, least long")
+    runs = contents.repartition(n, "key").sortWithinPartitions("key").mapInArrow(settled, "key long, form long, `from` long, windows long, least long")
     later = places.select("key", "form", "doc", "text_hash", "at").join(runs, ["key", "form"]).filter("least < doc")
     later = later.select("doc", "text_hash", (F.col("at") + F.col("from")).alias("a"), (F.col("at") + F.col("from") + F.col("windows") - 1 + length).alias("b"))
-    return later.groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+    return later.union(copies).groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
 def cut_repeats(docs: DataFrame, scratch: Scratch, finish, finish_schema: str, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, length: int = LENGTH) -> DataFrame:

@@ -39,7 +39,7 @@ def fit(x: np.ndarray, rotations: int, seed: int = 5) -> tuple[np.ndarray, np.nd
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     mean = x.mean(axis=0)
     centred = x - mean
-    _, _, axes = np.linalg.svd(centred, full_matrices=True)
+    axes = np.linalg.eigh(centred.T @ centred)[1].T[::-1]
     v, rng, out = centred @ axes.T, np.random.default_rng(seed), []
     for _ in range(rotations):
         r = np.linalg.qr(rng.standard_normal((x.shape[1],) * 2))[0]

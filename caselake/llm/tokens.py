@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-MEMO_PIECES = 400_000  # pieces kept by a task at most; then it starts anew
+MEMO_PIECES = 1_200_000  # pieces kept by a worker process at most; then it starts anew
 #: A blank after a character that is no white space starts a new piece of the byte-level pattern.
 _PIECE = re.compile(r"(?<=\S)(?= )")
 _ODD_BLANK = re.compile(r"\s |^ ")
@@ -34,7 +34,11 @@ class PieceEncoder:
     def __init__(self, path: str, blank: str, width: str = "<u4"):
         self.tokenizer, self.blank, self.width = load(path), blank, width
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        # workers outlive tasks, and so does what hangs on an imported module
+        import tokenizers
+
+        memos = tokenizers.__dict__.setdefault("_caselake_memos", {})
+        self.memo: dict[str, bytes] = memos.setdefault((path, blank, width), {})
 
     def pieces(self, text: str) -> list[str]:
         if self.blank == "dropped":

@@ -164,6 +164,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     likely = x.withColumn("h", F.xxhash64("doc")).mapInArrow(sieved, "doc long, text string").withColumn("text_hash", F.xxhash64("text"))
     places = likely.join(keys, "doc").select("doc", "text", "text_hash", "keys").mapInArrow(contexts, "key long, bytes binary, lead int, doc long, text_hash long, at long")
     places = scratch.save(places.withColumn("form", F.xxhash64("bytes", "lead")), "places")
+    scratch.drop("keys")
     contents = places.groupBy("key", "form").agg(F.min("doc").alias("low"), F.first("bytes").alias("bytes"))
 
     def settled(parts):
@@ -185,6 +186,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in (key[row[new]], form[row[new]], inner[new], end - new, least[new])], ["key", "form", "from", "windows", "least"])
 
     runs = contents.repartition(n, "key").sortWithinPartitions("key").mapInArrow(settled, "key long, form long, `from` long, windows long, least long")
+    runs = scratch.save(runs, "runs")
+    scratch.drop(family.levels[-1][1])  # gone already; finished shuffles go with it
     later = places.select("key", "form", "doc", "text_hash", "at").join(runs, ["key", "form"]).filter("least < doc")
     later = later.select("doc", "text_hash", (F.col("at") + F.col("from")).alias("a"), (F.col("at") + F.col("from") + F.col("windows") - 1 + length).alias("b"))
     return later.union(copies).groupBy("doc", "text_hash").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-MEMO_PIECES = 1_200_000  # pieces kept by a worker process at most; then it starts anew
+MEMO_PIECES = 400_000  # pieces kept by a worker process at most; then it starts anew
 #: A blank after a character that is no white space starts a new piece of the byte-level pattern.
 _PIECE = re.compile(r"(?<=\S)(?= )")
 _ODD_BLANK = re.compile(r"\s |^ ")

@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 
-MEMO_PIECES = 400_000  # pieces kept by a worker process at most; then it starts anew
+MEMO_PIECES = 300_000  # a worker process keeps so many pieces, and as many that were used before those
 #: A blank after a character that is no white space starts a new piece of the byte-level pattern.
 _PIECE = re.compile(r"(?<=\S)(?= )")
 _ODD_BLANK = re.compile(r"\s |^ ")
@@ -32,13 +32,16 @@ class PieceEncoder:
     A text that holds one of the special tokens' strings goes to the library whole."""
 
     def __init__(self, path: str, blank: str, width: str = "<u4"):
-        self.tokenizer, self.blank, self.width = load(path), blank, width
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.blank, self.width = blank, width
         # workers outlive tasks, and so does what hangs on an imported module
         import tokenizers
 
-        memos = tokenizers.__dict__.setdefault("_caselake_memos", {})
-        self.memo: dict[str, bytes] = memos.setdefault((path, blank, width), {})
+        kept = tokenizers.__dict__.setdefault("_caselake_kept", {})
+        if (path, blank, width) not in kept:
+            kept[path, blank, width] = {"tokenizer": load(path), "new": {}, "old": {}}
+        self.kept = kept[path, blank, width]
+        self.tokenizer = self.kept["tokenizer"]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def pieces(self, text: str) -> list[str]:
         if self.blank == "dropped":
@@ -66,10 +69,14 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         whole = [any(s in t for s in self.special) for t in texts]
         split = [[] if w else self.pieces(t) for t, w in zip(texts, whole)]
-        memo = self.memo
-        if len(memo) > MEMO_PIECES:
-            memo.clear()
-        new = list({p for x in split for p in x if p not in memo})
+        if len(self.kept["new"]) > MEMO_PIECES:
+            self.kept["old"], self.kept["new"] = self.kept["new"], {}
+        memo, old = self.kept["new"], self.kept["old"]
+        new = {p for x in split for p in x if p not in memo}
+        again = [p for p in new if p in old]
+        for p in again:
+            memo[p] = old[p]
+        new = list(new.difference(again))
         memo.update(zip(new, self._packed(new)))
         out = [b"".join([memo[p] for p in x]) for x in split]
         for k in [k for k, w in enumerate(whole) if w]:

@@ -22,6 +22,7 @@ from .tokens import PieceEncoder
 WINDOW = 16  # bytes the rolling hash sees
 AVERAGE = 512  # bytes between cuts, on average
 SHORTEST = 64
+KEEP = 100_000  # pieces kept by a worker, whose memory also holds texts with the ids of their chunks
 _BLANK = re.compile(rb"[ \n]")
 
 
@@ -154,7 +155,7 @@ def encode(docs: DataFrame, scratch: Scratch, tokenizer_path: str, finish=None,
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.binary())], ["key", "chunk"])
 
     def own_chunks(batches):
-        encoder = PieceEncoder(tokenizer_path, "dropped")
+        encoder = PieceEncoder(tokenizer_path, "dropped", keep=KEEP)
         for b in batches:
             chunks, texts = [], []
             for wanted, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -175,7 +176,7 @@ def encode(docs: DataFrame, scratch: Scratch, tokenizer_path: str, finish=None,
         return pa.RecordBatch.from_arrays([*b.columns[:k], *cols], [*rest, *made])
 
     def plain(batches):
-        encoder = PieceEncoder(tokenizer_path, "dropped")
+        encoder = PieceEncoder(tokenizer_path, "dropped", keep=KEEP)
         make = finish(encoder.tokenizer) if finish else None
         for b in batches:
             for at in range(0, b.num_rows, 256):
@@ -183,7 +184,7 @@ def encode(docs: DataFrame, scratch: Scratch, tokenizer_path: str, finish=None,
                 yield finished(s, encoder.encode_all(s.column(k).to_pylist()), make)
 
     def with_chunks(batches):
-        encoder = PieceEncoder(tokenizer_path, "dropped")
+        encoder = PieceEncoder(tokenizer_path, "dropped", keep=KEEP)
         make = finish(encoder.tokenizer) if finish else None
         for b in batches:
             for at in range(0, b.num_rows, 256):

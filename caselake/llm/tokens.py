@@ -6,7 +6,8 @@ import re
 
 import numpy as np
 
-MEMO_PIECES = 300_000  # a worker process keeps so many pieces, and as many that were used before those
+KEEP = 300_000  # a worker process keeps so many pieces, and as many that were used before those
+TOGETHER = 4096  # pieces whose encodings the library holds at a time
 #: A blank after a character that is no white space starts a new piece of the byte-level pattern.
 _PIECE = re.compile(r"(?<=\S)(?= )")
 _ODD_BLANK = re.compile(r"\s |^ ")
@@ -31,8 +32,8 @@ class PieceEncoder:
     or "dropped" (white space only separates). Both cut at blanks only, where no pre-token can go across.
     A text that holds one of the special tokens' strings goes to the library whole."""
 
-    def __init__(self, path: str, blank: str, width: str = "<u4"):
-        self.blank, self.width = blank, width
+    def __init__(self, path: str, blank: str, width: str = "<u4", keep: int = KEEP):
+        self.blank, self.width, self.keep = blank, width, keep
         # workers outlive tasks, and so does what hangs on an imported module
         import tokenizers
 
@@ -52,7 +53,8 @@ class PieceEncoder:
         return [first, *[" " + x for x in rest]]
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        groups = (texts[k : k + TOGETHER] for k in range(0, len(texts), TOGETHER))
+        return [np.array(e.ids, self.width).tobytes() for g in groups for e in self.tokenizer.encode_batch_fast(g, add_special_tokens=False)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
@@ -69,7 +71,7 @@ class PieceEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         whole = [any(s in t for s in self.special) for t in texts]
         split = [[] if w else self.pieces(t) for t, w in zip(texts, whole)]
-        if len(self.kept["new"]) > MEMO_PIECES:
+        if len(self.kept["new"]) > self.keep:
             self.kept["old"], self.kept["new"] = self.kept["new"], {}
         memo, old = self.kept["new"], self.kept["old"]
         new = {p for x in split for p in x if p not in memo}

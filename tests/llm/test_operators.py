@@ -91,6 +91,22 @@ def test_chunk_joins():
     assert len(known) > 1 and bpe.assemble(data, known, e) == e.encode_all([data.decode()])[0]
 
 
+@pytest.mark.parametrize(("name", "blank"), [("byte_bpe_50k.json", "kept"), ("word_bpe_49k.json", "dropped")])
+def test_kept_pieces_change_generations(name, blank):
+    from caselake.llm.tokens import PieceEncoder
+
+    path = public_tokenizers.path(name)
+    e, t = PieceEncoder(path, blank, keep=20), Tokenizer.from_file(path)
+    rng, letters, old = np.random.default_rng(3), "abehnorst", False
+    for _ in range(30):
+        words = ["".join(rng.choice(list(letters), rng.integers(1, 4))) for _ in range(40)]
+        texts = [" ".join(words[:20]), ", ".join(words[20:]) + ".\n", "", "  two  blanks\n x"]
+        want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        assert e.encode_all(texts) == want
+        old |= bool(e.kept["old"])
+    assert old
+
+
 def test_dac(spark, docs):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     shards = dac.write_shards(docs, Scratch(spark), public_tokenizers.path("byte_bpe_50k.json"), shard_ids=150)

@@ -70,6 +70,7 @@ class IndexFamily:
     def __init__(self, scratch: Scratch, partitions: int):
         self.scratch, self.n, self.made = scratch, partitions, 0
         self.levels: list[tuple[int, str, DataFrame]] = []
+        self.shared: list[str] = []
 
     def add(self, suffixes: DataFrame, last: bool = False) -> DataFrame:
         """(doc, key) of suffixes that this batch shares with the index or within itself; older documents' too."""
@@ -84,6 +85,8 @@ class IndexFamily:
         hits = self.scratch.save(hits.select("key", F.array_compact(F.array(*old)).alias("olds") if old else F.expr("cast(array() as array<long>)").alias("olds")), f"{name}_hits")
         shared = batch.join(hits, "key").select("doc", "key").union(hits.select(F.explode("olds").alias("doc"), "key"))
         shared = self.scratch.save(shared, f"{name}_shared")
+        self.scratch.drop(f"{name}_hits")
+        self.shared.append(f"{name}_shared")
         self.levels.append((1, name, batch))
         while not last and len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, a, x), (_, b, y) = self.levels.pop(), self.levels.pop()
@@ -136,7 +139,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
         got = family.add(batch.withColumn("h", F.xxhash64("doc")).mapInArrow(suffixes, "key long, doc long"), last=k == len(edges) - 2)
         shared = got if shared is None else shared.union(got)
     keys = scratch.save(shared.distinct().groupBy("doc").agg(F.collect_list("key").alias("keys")), "keys")
-    for _, name, _ in family.levels:
+    for name in [*(name for _, name, _ in family.levels), *family.shared]:
         scratch.drop(name)
     sieve = spark.sparkContext.broadcast(build_sieve(keys.select(F.xxhash64("doc").alias("h")), "h"))
 

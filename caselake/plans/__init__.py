@@ -1,8 +1,8 @@
 """The registry of queries over the driver's tables and their SQL."""
 
-from ..operators import analytics, casework, knowledge, text
+from ..operators import analytics, casework, hygiene, knowledge, text
 
-MODULES = (analytics, knowledge, casework, text)
+MODULES = (analytics, knowledge, casework, text, hygiene)
 
 
 def registered() -> dict:

@@ -39,7 +39,9 @@ class PieceEncoder:
 
         kept = tokenizers.__dict__.setdefault("_caselake_kept", {})
         if (path, blank, width) not in kept:
-            kept[path, blank, width] = {"tokenizer": load(path), "new": {}, "old": {}}
+            t = load(path)
+            codes = np.arange(t.get_vocab_size(with_added_tokens=True)).astype(width)
+            kept[path, blank, width] = {"tokenizer": t, "codes": [c.tobytes() for c in codes], "new": {}, "old": {}}
         self.kept = kept[path, blank, width]
         self.tokenizer = self.kept["tokenizer"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -53,8 +55,8 @@ class PieceEncoder:
         return [first, *[" " + x for x in rest]]
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        groups = (texts[k : k + TOGETHER] for k in range(0, len(texts), TOGETHER))
-        return [np.array(e.ids, self.width).tobytes() for g in groups for e in self.tokenizer.encode_batch_fast(g, add_special_tokens=False)]
+        groups, codes = (texts[k : k + TOGETHER] for k in range(0, len(texts), TOGETHER)), self.kept["codes"]
+        return [b"".join([codes[i] for i in e.ids]) for g in groups for e in self.tokenizer.encode_batch_fast(g, add_special_tokens=False)]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""

@@ -78,7 +78,7 @@ def rules() -> list[Rule]:
 
     def rule(pattern, label, keywords, priority, confidence):
         # the closing blank is only looked at, so neighbouring matches may share it
-        return Rule(re.compile(rf" (?:{pattern})(?= )".encode()), label, tuple(k.encode() for k in keywords), priority, confidence)
+        return Rule(re.compile(rf" (?:{pattern})(?= )".encode()), label, tuple(w.encode() for k in keywords for w in k.split()), priority, confidence)
 
     out = [rule(p, label, p.split(), 0, 1.0) for p, label in BASE]
     out += [rule(frame.format(name), label, (key, *word.split()), priority, confidence) for frame, word, priority, confidence in FRAMES for name, label, key in NAMES]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 DICT_BYTES = 64 * 1024  # of a language; bounds what the driver and each task hold: languages x this
 PIECE_CHARS = 256  # labelled text is drawn in pieces of so many characters
-SAMPLE_DOCS = 4000  # expected number of labelled documents of a language that pieces are drawn from
+SAMPLE_DOCS = 4000  # expected number of different labelled texts of a language that pieces are drawn from
 BLOCK_BYTES = 64 * 1024
 LEVEL = 6
 MIN_MARGIN = 0.002  # of the second size
@@ -30,13 +30,15 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     """lang -> raw dictionary, from (text, lang) rows; rows with a null in either, or no text, teach nothing.
 
     The sample is bounded by dict_bytes a language: pieces with the smallest hashes out of about sample_docs
-    documents a language, chosen by the hash of their texts, so equal tables give equal dictionaries."""
+    different texts a language, chosen by their hashes, so equal tables give equal dictionaries however many
+    copies a text has. A language with no more than sample_docs different texts gives them all."""
     x = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text <> ''")
-    counts = {r.lang: r.n for r in x.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    x = x.withColumn("h", F.xxhash64("text"))
+    counts = {r.lang: r.n for r in x.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, sample_docs / n))])
-    x = x.withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    x = x.filter(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     x = x.select("lang", F.explode(F.expr(f"transform(sequence(1, length(text), {PIECE_CHARS}), i -> substr(text, i, {PIECE_CHARS}))")).alias("piece"))
     x = x.withColumn("h", F.xxhash64("piece", F.lit(7))).dropDuplicates(["lang", "h"])
     keep = max(1, dict_bytes // PIECE_CHARS)

@@ -23,16 +23,20 @@ from .common import Scratch, byte_texts
 ROW = 64
 SCHEME = "media:sha256/"
 SILENT = ("script", "style", "template", "noscript")
+BLOCKS = ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "article", "section", "td", "tr", "title", "footer", "nav")
 ITEM = "array<struct<position:int, kind:string, text:string, digest:string, caption:string>>"
 _ITEM = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 
 
 class _Reader(HTMLParser):
-    """Items in reading order. A figure's caption goes to the media of that figure, else alt is the caption."""
+    """Items in reading order. A figure's caption goes to the media of that figure, else alt is the caption.
+
+    A caption ends with its end tag, its figure, the next caption or figure, or the input; where its figure has
+    no media, or there is no figure, it is a text item in its place."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.items, self.text, self.silent, self.caption, self.figure = [], [], 0, None, 0
+        self.items, self.text, self.silent, self.caption, self.figures = [], [], 0, None, []
 
     def flush(self):
         text = " ".join("".join(self.text).split())
@@ -40,6 +44,31 @@ class _Reader(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def close_caption(self):
+        if self.caption is not None:
+            text, self.caption = " ".join("".join(self.caption).split()), None
+            if text:
+                item = {"kind": "text", "text": text, "digest": None, "caption": None}
+                self.items.append(item)
+                if self.figures:
+                    self.figures[-1]["captions"].append(item)
+
+    def close_figure(self):
+        figure = self.figures.pop()
+        if figure["media"] and figure["captions"]:
+            for x in figure["media"]:
+                x["caption"] = " ".join(c["text"] for c in figure["captions"])
+            for c in figure["captions"]:
+                c["kind"] = None
+
+    def finish(self) -> list[dict]:
+        self.close()
+        self.close_caption()
+        self.flush()
+        while self.figures:
+            self.close_figure()
+        return [x for x in self.items if x["kind"]]
+
     def handle_starttag(self, tag, attrs):
         if tag in SILENT:
             self.silent += 1
@@ -49,13 +78,19 @@ class _Reader(HTMLParser):
                 self.flush()
                 src = a["src"]
                 self.items.append({"kind": "media", "text": None if src.startswith(SCHEME) else src, "digest": src[len(SCHEME):] if src.startswith(SCHEME) else None, "caption": a.get("alt")})
+                if self.figures:
+                    self.figures[-1]["media"].append(self.items[-1])
         elif tag == "figure":
+            self.close_caption()
             self.flush()
-            self.figure = len(self.items)
+            self.figures.append({"media": [], "captions": []})
         elif tag == "figcaption":
+            self.close_caption()
             self.flush()
             self.caption = []
-        elif tag in ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "article", "section", "td", "tr", "title", "footer", "nav"):
+        elif self.caption is not None and tag in BLOCKS:
+            self.caption.append(" ")
+        elif tag in BLOCKS:
             self.flush()
 
     def handle_startendtag(self, tag, attrs):
@@ -64,13 +99,16 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for x in self.items[self.figure:]:
-                if x["kind"] == "media":
-                    x["caption"] = text
-            self.caption = None
-        elif tag in ("p", "div", "li", "h1", "h2", "h3", "h4", "article", "section", "td", "tr", "title", "figure", "footer", "nav"):
+        elif tag == "figcaption":
+            self.close_caption()
+        elif tag == "figure":
+            self.close_caption()
+            self.flush()
+            if self.figures:
+                self.close_figure()
+        elif self.caption is not None and tag in BLOCKS:
+            self.caption.append(" ")
+        elif tag in BLOCKS and tag != "br":
             self.flush()
 
     def handle_data(self, data):
@@ -81,9 +119,7 @@ class _Reader(HTMLParser):
 def read_items(html: str) -> list[dict]:
     r = _Reader()
     r.feed(html)
-    r.close()
-    r.flush()
-    return [{"position": k} | x for k, x in enumerate(r.items)]
+    return [{"position": k} | x for k, x in enumerate(r.finish())]
 
 
 def interleave(df: DataFrame, html_col: str = "html", out: str = "items") -> DataFrame:

@@ -3,8 +3,9 @@
 Rotations learned on a bounded sample turn vectors into balanced binary codes. The codes are cut into
 substrings, one for each table; vectors of a label that agree on a substring meet in that table's bucket and
 are compared there by cosine in double precision. The substring length follows the logarithm of the largest
-label, so buckets stay small, and the number of tables follows from the chance that a pair at the threshold
-agrees on no substring. A pair counts in the first table that it meets in, so every link counts once, and
+label, so buckets stay small, and the number of tables follows from the bits that pairs at the threshold, made
+around sampled vectors, are found to agree on after centring. Where too many tables were needed (vectors that
+are close to their mean), substrings get shorter, down to none, when all vectors of a label are compared. A pair counts in the first table that it meets in, so every link counts once, and
 only counts and a spanning forest of each bucket leave it.
 """
 
@@ -22,18 +23,14 @@ from .common import Scratch, connected_components, shuffle_partitions, whole_gro
 THRESHOLD = 0.93
 SAMPLE = 8192  # vectors a dimension that the rotations are fitted on
 ROUNDS = 30
-MISS = 0.005  # chance to miss a pair at the threshold, by the model of independent bits
+MISS = 0.005  # chance to miss a pair at the threshold, by the bits that made pairs agree on
+RECALL = 0.99  # of other made pairs at the threshold, measured with the codes themselves
+PAIRS = 4096
+MOST_TABLES = 64
 BUCKET = 16  # vectors of one label in a bucket that the substring length aims at
 TILE = 1024  # a larger bucket is compared in pairs of parts of about this size
 
 
-def substrings(largest: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
-    """(bits of a substring, tables) for the number of vectors of the largest label."""
-    bits = min(20, max(4, round(math.log2(max(1, largest) / BUCKET + 1))))
-    agree = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, math.ceil(math.log(miss) / math.log(1 - agree))
-
-
 def fit(x: np.ndarray, rotations: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(mean, dim x bits): PCA turned by iterative quantisation, from ``rotations`` random starts."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -50,6 +47,43 @@ def fit(x: np.ndarray, rotations: int, seed: int = 5) -> tuple[np.ndarray, np.nd
     return mean, np.hstack(out)
 
 
+def pairs_at(x: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors whose cosine is the threshold: rows of x, and these turned towards another vector.
+
+    Half of them turn in any direction, half in that of a difference of two rows of x."""
+    a = x[rng.integers(0, len(x), PAIRS)]
+    u = rng.standard_normal(a.shape)
+    u[::2] = 1e-9 * u[::2] + x[rng.integers(0, len(x), PAIRS // 2)] - x[rng.integers(0, len(x), PAIRS // 2)]
+    u -= (u * a).sum(axis=1, keepdims=True) * a
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+    return a, threshold * a + math.sqrt(1 - threshold**2) * u
+
+
+def codes(x: np.ndarray, bits: int, tables: int, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """Rows of the substrings' numbers, one for each table."""
+    return ((x - mean) @ turn > 0)[:, : bits * tables].reshape(len(x), tables, bits) @ (1 << np.arange(bits))
+
+
+def plan(x: np.ndarray, largest: int, threshold: float = THRESHOLD) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(bits of a substring, tables, mean, turn) for sampled vectors and the number of vectors of the largest label."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    dim, rng = x.shape[1], np.random.default_rng(11)
+    mean, turn = fit(x, 2)
+    a, b = pairs_at(x, threshold, rng)
+    agree = (((a - mean) @ turn > 0) == ((b - mean) @ turn > 0)).mean(axis=1)
+    other = pairs_at(x, threshold, rng)
+    for bits in range(min(20, max(4, round(math.log2(max(1, largest) / BUCKET + 1)))), 0, -1):
+        missed = 1 - agree**bits
+        tables = next((t for t in range(1, MOST_TABLES + 1) if (missed**t).mean() <= MISS), None)
+        while tables and tables <= MOST_TABLES:
+            mean, turn = fit(x, -(-bits * tables // dim))
+            found = (codes(other[0], bits, tables, mean, turn) == codes(other[1], bits, tables, mean, turn)).any(axis=1)
+            if found.mean() >= RECALL:
+                return bits, tables, mean, turn
+            tables += -(-tables // 4)
+    return 0, 1, mean, np.zeros((dim, 0))
+
+
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The smallest row number of each row's component under links i - j."""
     label = np.arange(n)
@@ -82,9 +116,8 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id"
     sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
     models = {}
     for r in sizes:
-        bits, tables = substrings(r.n, threshold)
         sample = reps.filter(F.col("dim") == r.dim).orderBy(F.xxhash64("k1")).limit(SAMPLE).select("v").collect()
-        models[r.dim] = (bits, tables, *fit(np.array([s.v for s in sample]), -(-bits * tables // r.dim)))
+        models[r.dim] = plan(np.array([s.v for s in sample]), r.n, threshold)
 
     def coded(with_vectors: bool):
         def run(batches):
@@ -97,7 +130,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id"
                         a = np.array(v)
                         a /= np.abs(a).max()
                         a /= np.linalg.norm(a)
-                        code = ((a - mean) @ turn > 0)[: bits * tables].reshape(tables, bits) @ (1 << np.arange(bits))
+                        code = codes(a[None], bits, tables, mean, turn)[0]
                         packed, vec = code.astype("<u4").tobytes(), a.tobytes() if with_vectors else b""
                         for tab, bucket in enumerate(code.tolist()):
                             for k, value in zip(out, (label, dim, tab, bucket, key, copies, vec, packed if with_vectors else b"")):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.surrogate import CTE, citations, policies, table
+from ..sources.surrogate import CTE, cases, citations, policies, table
 
 
 def current(pages: DataFrame) -> DataFrame:
@@ -96,9 +96,11 @@ def missing_teams(cases: DataFrame, teams: DataFrame) -> DataFrame:
     return cases.join(teams, "team", "left_anti").groupBy("team").agg(F.count("*").alias("n"))
 
 
-def lint(pages: DataFrame, cites: DataFrame) -> DataFrame:
-    """All findings by code: severity and count."""
+def lint(pages: DataFrame, cites: DataFrame, cases: DataFrame | None = None, teams: DataFrame | None = None) -> DataFrame:
+    """All findings by code: severity and count; those of teams where cases and teams are given."""
     found = [("CONTRADICTION", "error", contradictions(pages)), ("EXPIRED_LINKED", "error", expired_linked(cites, pages)), ("STALE_CITATION", "warning", supersession(cites, pages)), ("ORPHAN", "info", orphans(pages, cites))]
+    if cases is not None and teams is not None:
+        found.append(("MISSING_TEAM", "error", missing_teams(cases, teams)))
     out = None
     for code, severity, x in found:
         x = x.agg(F.count("*").alias("n")).select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), "n")
@@ -119,6 +121,10 @@ def _drafts(s, d):
     return table(s, d, "part").filter(_DRAFTS).select(F.col("p_brand").alias("policy_id")).distinct()
 
 
+def _teams(s, d):
+    return table(s, d, "nation").select(F.col("n_name").alias("team"))
+
+
 def _requests(s, d):
     return citations(s, d).groupBy("case_id", "policy_id").agg(F.max("version").alias("base_version")).withColumnRenamed("case_id", "request_id")
 
@@ -135,6 +141,9 @@ QUERIES = {
     "lint_contradiction": lambda s, d: contradictions(policies(s, d)),
     "policy_conflict_pairs": lambda s, d: conflict_pairs(policies(s, d)),
     "lint_expired_linked": lambda s, d: expired_linked(citations(s, d), policies(s, d).filter("version % 2 = 0 OR status <> 'approved'")),
+    "lint_expired_linked_all": lambda s, d: expired_linked(citations(s, d), policies(s, d)),
+    "lint_missing_team": lambda s, d: missing_teams(cases(s, d), _teams(s, d)),
+    "lint_with_teams": lambda s, d: lint(policies(s, d), citations(s, d), cases(s, d), _teams(s, d)),
     "lint_orphan": lambda s, d: orphans(policies(s, d), citations(s, d)),
     "lint_all": lambda s, d: lint(policies(s, d), citations(s, d)),
     "page_links": lambda s, d: link_targets(table(s, d, "pages")),
@@ -169,3 +178,9 @@ SQL = {
     "lint_all": f"WITH {CTE}, {_LIVE} SELECT 'CONTRADICTION' AS code, 'error' AS severity, count(*) AS n FROM ({_CONTRA}) UNION ALL SELECT 'EXPIRED_LINKED', 'error', count(*) FROM ({_expired('true')}) UNION ALL SELECT 'STALE_CITATION', 'warning', count(*) FROM ({_SUPER}) UNION ALL SELECT 'ORPHAN', 'info', count(*) FROM ({_ORPHAN})",
     "page_links": """SELECT target, count(*) AS n_pages FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY target""",
 }
+_TEAM = "SELECT team, count(*) AS n FROM cases WHERE team NOT IN (SELECT n_name FROM nation) GROUP BY team"
+SQL |= {
+    "lint_expired_linked_all": f"WITH {CTE} {_expired('true')}",
+    "lint_missing_team": f"WITH {CTE} {_TEAM}",
+    "lint_with_teams": f"{SQL['lint_all']} UNION ALL SELECT 'MISSING_TEAM', 'error', count(*) FROM ({_TEAM})",
+}

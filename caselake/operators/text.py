@@ -74,17 +74,22 @@ def corpus_df(df: DataFrame) -> DataFrame:
     return x.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, k: int = 5) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, k: int = 5, unseen: bool = False) -> DataFrame:
     """Top k documents of each query (item_id, text) by BM25 over the sum of its terms' idf, in 0..1.
 
-    Postings are joined with query terms on the token; idf is the smoothed non-negative form."""
+    Postings are joined with query terms on the token; idf is the smoothed non-negative form. With unseen, terms
+    that no document has count in the sum with the largest idf of the corpus."""
     post = docs.select("doc_id", F.explode(stems(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
     length = post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     stats = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     terms = queries.select("item_id", F.explode(F.array_distinct(stems(F.col("text")))).alias("token"))
     idf = post.join(terms.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).withColumn("idf", F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weighted = terms.join(idf, "token")
-    best = weighted.groupBy("item_id").agg(F.sum("idf").alias("total"))
+    every = weighted
+    if unseen:
+        rarest = post.groupBy("token").agg(F.count("*").alias("df")).agg(F.min("df").alias("df")).crossJoin(stats).select(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("most"))
+        every = terms.join(idf, "token", "left").crossJoin(F.broadcast(rarest)).withColumn("idf", F.coalesce("idf", "most"))
+    best = every.groupBy("item_id").agg(F.sum("idf").alias("total"))
     x = weighted.join(post, "token").join(length, "doc_id")
     s = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     x = x.groupBy("item_id", "doc_id").agg(F.sum(s).alias("s")).join(best, "item_id").withColumn("score", F.round(F.least(F.lit(1.0), F.col("s") / F.col("total") / (k1 + 1)), 6))
@@ -115,10 +120,12 @@ QUERIES = {
     "pii_types": lambda s, d: pii_types(_DOCS(s, d)).select("doc_id", "types"),
     "pii_mask_simple": lambda s, d: _DOCS(s, d).select("doc_id", F.md5(mask_shapes(F.col("text")).cast("binary")).alias("masked_md5")),
     "leak_scan": lambda s, d: leak_scan({"documents": (_DOCS(s, d), "doc_id", "text"), "conversations": (table(s, d, "conversations"), "conv_id", "text")}),
+    "leak_scan_all": lambda s, d: leak_scan({"documents": (_DOCS(s, d), "doc_id", "text"), "conversations": (table(s, d, "conversations"), "conv_id", "text"), "pages": (table(s, d, "pages"), "page_id", "html"), "events": (table(s, d, "events"), "event_id", "props")}),
     "keyword_type": lambda s, d: _DOCS(s, d).select("doc_id", keyword_type(F.col("text")).alias("kind")),
     "safety_flags": lambda s, d: _DOCS(s, d).select("doc_id", *[F.col("text").rlike(p).alias(n) for n, p in FLAGS]),
     "corpus_df": lambda s, d: corpus_df(_DOCS(s, d)),
     "bm25_abs": lambda s, d: bm25(_DOCS(s, d), table(s, d, "benchmark")),
+    "bm25_unseen": lambda s, d: bm25(_DOCS(s, d), table(s, d, "benchmark"), unseen=True),
     "luhn_quality": lambda s, d: luhn_runs(_DOCS(s, d)),
     "scorecard": lambda s, d: scorecard(_DOCS(s, d), table(s, d, "labels")),
     "scorecard_misses": lambda s, d: misses(_DOCS(s, d), table(s, d, "labels")),
@@ -149,3 +156,7 @@ y AS (SELECT item_id, doc_id, round(least(1.0, s / total / 2.5), 6) AS score FRO
     "scorecard": "SELECT lang, count(*) FILTER ((CASE WHEN n_chars >= 500 THEN 1 ELSE 0 END) = quality) AS num, count(*) AS den, count(*) FILTER (toxic = 1) AS toxic, round(100.0 * count(*) FILTER ((CASE WHEN n_chars >= 500 THEN 1 ELSE 0 END) = quality) / count(*), 1) AS pct FROM documents JOIN labels USING (doc_id) GROUP BY lang",
     "scorecard_misses": "SELECT * FROM (SELECT doc_id, concat_ws(',', CASE WHEN n_chars >= 500 AND quality = 0 THEN 'long_but_poor' END, CASE WHEN n_chars < 500 AND quality = 1 THEN 'short_but_good' END, CASE WHEN toxic = 1 THEN 'toxic' END) AS reasons FROM documents JOIN labels USING (doc_id)) WHERE reasons <> ''",
 }
+SQL |= {
+    "leak_scan_all": " UNION ALL ".join(f"SELECT '{f}' AS label, '{t}' AS type, count(*) AS n FROM {f} WHERE regexp_matches({c}, '{p}') HAVING count(*) > 0" for f, c in (("documents", "text"), ("conversations", "text"), ("pages", "html"), ("events", "props")) for t, _, p in SHAPES),
+    "bm25_unseen": SQL["bm25_abs"].replace("b AS (SELECT item_id, sum(idf) AS total FROM w GROUP BY 1)", "m AS (SELECT ln(1 + (n - low + 0.5) / (low + 0.5)) AS most FROM st, (SELECT min(df) AS low FROM (SELECT count(*) AS df FROM p GROUP BY token))), b AS (SELECT item_id, sum(coalesce(idf, most)) AS total FROM t LEFT JOIN i USING (token), m GROUP BY 1)"),
+}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -43,13 +44,18 @@ class Scratch:
         return self.spark.table(table)
 
     def drop(self, name: str) -> None:
-        """Remove a table that no later step reads; finished shuffles go with the JVM's next collection."""
+        """Remove a table that no later step reads."""
         if name in self.tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
+        self.free()
+
+    def free(self) -> None:
+        """Ask the JVM to collect: Spark removes the files of shuffles whose plans are gone. Only disk use depends on it."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

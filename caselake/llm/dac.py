@@ -11,7 +11,6 @@ first), the directory (u32 for every 512 chunks).
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -88,32 +87,44 @@ class Shard:
         return value
 
 
-SHARDS = "shard string, first_doc long, docs array<long>, n_ids long, payload binary"
+SHARDS = "task int, number int, docs array<long>, n_ids long, payload binary"
 
 
 def write_shards(docs: DataFrame, scratch: Scratch, tokenizer_path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = SHARD_IDS, name: str = "dac") -> DataFrame:
     """Encodes whole texts, appends end_id to each, and writes shards in ascending order of the id column.
 
-    Null and empty texts give the end id alone. Rows with a null id come first; repeated ids stay, each with
-    its own ids, next to one another. An empty table writes no shard."""
+    Null and empty texts give the end id alone. Rows with a null id come first; repeated ids stay, each row with
+    its own ids, next to one another (equal rows in equal shards too: a shard is named by its task and its number
+    there, and both follow the order). A document longer than a shard has one of its own. Other columns are
+    not carried on, whatever their names. An empty table writes no shard."""
 
     def run(batches):
-        encoder, end = PieceEncoder(tokenizer_path, "kept"), np.array([end_id], "<u4").tobytes()
-        keys, parts, total = [], [], 0
+        from pyspark import TaskContext
+
+        encoder, task, number = PieceEncoder(tokenizer_path, "kept"), TaskContext.get().partitionId(), 0
+        keys, ids, sizes, total = [], [], [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            ends = np.cumsum([len(p) // 4 for p in parts])
-            return pa.RecordBatch.from_pydict({"shard": pa.array([uuid.uuid5(uuid.NAMESPACE_OID, f"{keys[0]} {keys[-1]} {len(ids)} {zlib.crc32(ids)}").hex], pa.string()), "first_doc": pa.array(keys[:1], pa.int64()), "docs": pa.array([keys], pa.list_(pa.int64())), "n_ids": pa.array([len(ids)], pa.int64()), "payload": pa.array([pack(ids, ends)], pa.binary())})
+            row = {"task": pa.array([task], pa.int32()), "number": pa.array([number], pa.int32()), "docs": pa.array([keys], pa.list_(pa.int64()))}
+            payload = pack(np.concatenate(ids), np.cumsum(np.concatenate(sizes)))
+            return pa.RecordBatch.from_pydict(row | {"n_ids": pa.array([total], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
         for b in batches:
-            for key, ids in zip(b.column(0).to_pylist(), encoder.encode_all([t or "" for t in b.column(1).to_pylist()])):
-                keys.append(key)
-                parts.append(ids + end)
-                total += len(ids) // 4 + 1
-                if total >= shard_ids:
-                    yield close()
-                    keys, parts, total = [], [], 0
+            at, names = 0, b.column(0).to_pylist()
+            for n, found, size in encoder.encode_array(b.column(1)):
+                found, size = np.insert(found, np.cumsum(size), end_id), size + 1
+                # a shard ends with the first document that fills it
+                while n:
+                    k = min(n, int(np.searchsorted(np.cumsum(size), shard_ids - total)) + 1)
+                    taken = int(size[:k].sum())
+                    keys += names[at : at + k]
+                    ids.append(found[:taken])
+                    sizes.append(size[:k])
+                    total += taken
+                    found, size, n, at = found[taken:], size[k:], n - k, at + k
+                    if total >= shard_ids:
+                        yield close()
+                        keys, ids, sizes, total, number = [], [], [], 0, number + 1
         if keys:
             yield close()
 
@@ -125,31 +136,30 @@ def write_shards(docs: DataFrame, scratch: Scratch, tokenizer_path: str, end_id:
 def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from written shards; start counts the ids of all documents before it.
 
-    Only the shards' heads (first id and number of ids) go through the ordered sum."""
-    # shards with one first id (a repeated id may fill several) stand in the order of their names
-    order = Window.orderBy(F.col("first_doc").asc_nulls_first(), F.size("docs"), "shard")
-    heads = shards.select("shard", F.sum("n_ids").over(order).alias("upto"), "n_ids").select("shard", (F.col("upto") - F.col("n_ids")).alias("before"))
+    Sums of tasks, a row for each, go through one ordered sum; those of shards through one for each task."""
+    earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = shards.groupBy("task").agg(F.sum("n_ids").alias("n")).select("task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("task").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    heads = shards.select("task", "number", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("inner")).join(tasks, "task")
+    heads = heads.select("task", "number", (F.col("base") + F.col("inner")).alias("before"))
 
     def run(batches):
         for b in batches:
-            names, docs, starts, counts, sums = [], [], [], [], []
-            for name, keys, payload in zip(*(c.to_pylist() for c in b.columns)):
+            for task, number, keys, payload in zip(*(c.to_pylist() for c in b.columns)):
                 s = Shard(payload)
-                ids, at = s.all_ids().astype("<u4"), 0
-                for key, end in zip(keys, s.ends.tolist()):
-                    names.append(name)
-                    docs.append(key)
-                    starts.append(at)
-                    counts.append(end - at)
-                    sums.append(zlib.crc32(ids[at:end]))
-                    at = end
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array(c, pa.int64()) for c in (docs, starts, counts, sums))], ["shard", "doc_id", "place", "n_tokens", "ids_crc32"])
+                ids, ends = memoryview(s.all_ids().astype("<u4")).cast("B"), s.ends.astype(np.int64)
+                starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+                sums = [zlib.crc32(ids[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist())]
+                own = [np.full(len(keys), x, np.int32) for x in (task, number)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, own), *(pa.array(c, pa.int64()) for c in (keys, starts, ends - starts, sums))], ["task", "number", "doc_id", "place", "n_tokens", "ids_crc32"])
 
-    rows = shards.select("shard", "docs", "payload").mapInArrow(run, "shard string, doc_id long, place long, n_tokens long, ids_crc32 long")
-    return rows.join(heads, "shard").select("doc_id", (F.col("place") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    rows = shards.select("task", "number", "docs", "payload").mapInArrow(run, "task int, number int, doc_id long, place long, n_tokens long, ids_crc32 long")
+    return rows.join(heads, ["task", "number"]).select("doc_id", (F.col("place") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op5_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every row, read back from the written shards. Null and empty texts
+    have the end id alone; repeated ids keep a row each, the smaller text first; an empty table gives no rows."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

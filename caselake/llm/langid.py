@@ -6,12 +6,12 @@ blocks with each dictionary; the smallest total size wins. A narrow margin to th
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 DICT_BYTES = 64 * 1024  # of a language; bounds what the driver and each task hold: languages x this
 PIECE_CHARS = 256  # labelled text is drawn in pieces of so many characters
 SAMPLE_DOCS = 4000  # expected number of different labelled texts of a language that pieces are drawn from
@@ -19,7 +19,6 @@ BLOCK_BYTES = 64 * 1024
 LEVEL = 6
 MIN_MARGIN = 0.002  # of the second size
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -60,9 +59,14 @@ def compressors(dictionaries: dict[str, bytes], level: int = LEVEL) -> list[tupl
     return out
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (category L*); digits and number signs such as ² are none."""
+    return any(map(str.isalpha, text))
+
+
 def judge(text: str | None, by_lang: list[tuple[str, object]], min_margin: float = MIN_MARGIN) -> tuple[str, float, float, bool]:
     """(lang, score, margin, rejected) of a whole text, read in lower case."""
-    if not by_lang or not text or not _LETTER.search(text):
+    if not by_lang or not text or not has_letter(text):
         return UNKNOWN, 0.0, 0.0, True
     low = text.lower().encode()
     blocks = [low[i : i + BLOCK_BYTES] for i in range(0, len(low), BLOCK_BYTES)]
@@ -87,7 +91,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 
     def run(batches):
         by_lang = compressors(dictionaries)
-        for b in batches:
+        for b in slices(batches):
             got = [judge(t, by_lang, min_margin) for t in b.column(at).to_pylist()]
             cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names)
@@ -96,6 +100,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, margin, rejected) of every row. Null texts and texts without a letter are
+    ``und`` with score 0; repeated rows get equal rows; an empty table gives none, a table without labels ``und``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     known = learn(docs.filter("NOT held_out").select("text", "lang"))
     return identify(docs.select("doc_id", "held_out", "text"), known).drop("text")

@@ -31,7 +31,7 @@ from .common import Scratch, mix, powers, prefix_sums, shuffle_partitions, whole
 LENGTH = 50
 HEAD = 16
 BATCHES = 2
-PIECE = 1 << 22  # bytes of a text looked at together; windows go on over the border
+PIECE = 1 << 20  # bytes of a text looked at together; windows go on over the border
 SLICE = 1 << 23  # bytes of texts whose entries are sorted into one run
 PARTS = 4  # parts of the index for each shuffle partition
 HOT = 20_000  # suffixes with one head beyond which their windows are dealt out singly
@@ -168,7 +168,8 @@ def merge_scan(with_level: bool):
 
     def run(batches):
         for b in batches:
-            for part, runs, *levels in zip(*(c.to_pylist() for c in b.columns)):
+            for k in range(b.num_rows):
+                part, runs, *levels = (c[k].as_py() for c in b.columns)
                 for r in runs:
                     if r["kind"] == 1:
                         *_, doc, place = unpack_run(r["data"])
@@ -411,7 +412,8 @@ class SuffixFamily:
         self.tables[name] = spark.table(table)
         self.segments.append((low, high, n, name))
         runs = self.tables[name].select("doc", "tag", "text").mapInArrow(sorted_runs(self.parts, self.length), "part int, kind int, data binary")
-        scanned = runs.groupBy("part").agg(F.collect_list(F.struct("kind", "data")).alias("runs"))
+        # dealt out first, so that lists are only made where they are used
+        scanned = runs.repartition(n, "part").groupBy("part").agg(F.collect_list(F.struct("kind", "data")).alias("runs"))
         for k, (_, level) in enumerate(self.levels):
             scanned = scanned.join(self.level(level).withColumnRenamed("data", f"old{k}"), "part", "left")
         found = f"{scratch.root}/found"
@@ -437,6 +439,8 @@ class SuffixFamily:
         covered = found.filter("kind = 0").select("doc", "place", F.lit(WHOLE).cast("long").alias("mask")).union(settled)
         covered = scratch.save(covered.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("covered")), "covered")
         scratch.drop("contexts")
+        if hot:
+            scratch.drop("windows")
         if index:
             name = f"level_{uuid.uuid4().hex[:12]}"
             found.filter("kind = 3").select("part", "data").write.option("compression", "none").parquet(f"{self.root}/{name}")
@@ -448,6 +452,7 @@ class SuffixFamily:
                 both.mapInArrow(merge_levels, "part int, data binary").write.option("compression", "none").parquet(f"{self.root}/{name}")
                 self.levels.append((2 * size, name))
             self._keep_manifest()
+        scratch.drop("found")
         return len(self.segments) - 1, covered
 
 

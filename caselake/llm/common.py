@@ -35,10 +35,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def save_bucketed(self, df: DataFrame, name: str, n: int, key: str) -> DataFrame:
-        """One file a bucket, sorted by the key: later joins and groupings on the key need no exchange."""
+    def save_bucketed(self, df: DataFrame, name: str, n: int, key: str, dealt: bool = False) -> DataFrame:
+        """One file a bucket, sorted by the key: later joins and groupings on the key need no exchange.
+
+        dealt says that the rows stand in n partitions by the key already."""
         table = f"caselake_{name}_{uuid.uuid4().hex[:12]}"
-        (df.repartition(n, key).write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
+        ((df if dealt else df.repartition(n, key)).write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
          .bucketBy(n, key).sortBy(key).saveAsTable(table))
         self.tables[name] = table
         return self.spark.table(table)
@@ -93,6 +95,16 @@ def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator
         yield t, starts(t)
 
 
+SLICE_ROWS = 256
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in short slices, so that few whole texts stand in Python's memory at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """Whole texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

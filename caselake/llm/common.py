@@ -23,12 +23,18 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+BATCH_ROWS = 2000
+
+
 class Scratch:
     """Written tables in the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_root(spark)}/caselake-{uuid.uuid4().hex}"
         self.tables: dict[str, str] = {}
+        # whole texts go to Python and back in short batches: 10,000 of them at a time fill a worker
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"

@@ -32,7 +32,7 @@ LENGTH = 50
 HEAD = 16
 BATCHES = 2
 PIECE = 1 << 20  # bytes of a text looked at together; windows go on over the border
-SLICE = 1 << 23  # bytes of texts whose entries are sorted into one run
+SLICE = 1 << 21  # bytes of texts whose entries are sorted into one run
 PARTS = 4  # parts of the index for each shuffle partition
 HOT = 20_000  # suffixes with one head beyond which their windows are dealt out singly
 WHOLE = -1  # mask: all windows of the place

@@ -124,7 +124,8 @@ def sorted_runs(parts: int, length: int):
 
     def rows(entries, h):
         e = _joined(entries)
-        part = (((np.concatenate(h) >> _U(16)) * _U(parts)) >> _U(48)).astype(np.int64)
+        # anchors have small hashes, so these are mixed once more to deal them out evenly
+        part = (((mix(np.concatenate(h)) >> _U(16)) * _U(parts)) >> _U(48)).astype(np.int64)
         o = np.lexsort((e[4], e[3], e[2], e[1], e[0], part))
         e, part = tuple(c[o] for c in e), part[o]
         begin = np.flatnonzero(_begins(e[0], e[1], e[2]))

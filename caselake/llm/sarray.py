@@ -32,9 +32,9 @@ LENGTH = 50
 HEAD = 16
 BATCHES = 2
 PIECE = 1 << 20  # bytes of a text looked at together; windows go on over the border
-SLICE = 1 << 21  # bytes of texts whose entries are sorted into one run
-PARTS = 4  # parts of the index for each shuffle partition
-HOT = 20_000  # suffixes with one head beyond which their windows are dealt out singly
+SLICE = 1 << 22  # bytes of texts whose entries are sorted into one run
+PART_BYTES = 1 << 24  # bytes of the first batch's texts for each part of the index
+HOT = 4096  # suffixes with one head beyond which their windows are dealt out singly
 WHOLE = -1  # mask: all windows of the place
 _LOW = np.uint64(PIECE - 1)
 _U = np.uint64
@@ -341,13 +341,13 @@ class SuffixFamily:
     """An index family in a folder: texts of each batch, and levels of sorted sparse suffixes.
 
     The folder's manifest names the current segments and levels; opening a folder that has one goes on from
-    there, in this session or a later one. The number of parts is fixed by the first batch."""
+    there, in this session or a later one. The number of parts follows the bytes of the first batch."""
 
     def __init__(self, spark: SparkSession, root: str, length: int = LENGTH):
         self.spark, self.root, self.length, self.version = spark, root.rstrip("/"), length, 0
         self.segments: list[tuple[int, int, int, str]] = []  # smallest and largest id, buckets, name
         self.levels: list[tuple[int, str]] = []  # batches, name
-        self.parts = PARTS * shuffle_partitions(spark)
+        self.parts = 0
         self.tables: dict[str, DataFrame] = {}
         try:
             rows = spark.read.parquet(f"{self.root}/manifest")
@@ -404,12 +404,13 @@ class SuffixFamily:
         (x.repartition(n, "doc").select("doc", tag.alias("tag"), "text", "row").write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
          .bucketBy(n, "doc").sortBy("doc").saveAsTable(table))
         scratch.free()
-        low, high = spark.table(table).agg(F.min("doc"), F.max("doc")).first()
+        low, high, size = spark.table(table).agg(F.min("doc"), F.max("doc"), F.sum(F.octet_length("text"))).first()
         if low is None:
             spark.sql(f"DROP TABLE {table}")
             return None
         if self.segments and low <= max(s[1] for s in self.segments):
             raise ValueError("ids of a batch must be larger than those of earlier batches")
+        self.parts = self.parts or max(1, size // PART_BYTES)
         self.tables[name] = spark.table(table)
         self.segments.append((low, high, n, name))
         runs = self.tables[name].select("doc", "tag", "text").mapInArrow(sorted_runs(self.parts, self.length), "part int, kind int, data binary")

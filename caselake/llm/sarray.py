@@ -33,7 +33,7 @@ HEAD = 16
 BATCHES = 2
 PIECE = 1 << 20  # bytes of a text looked at together; windows go on over the border
 SLICE = 1 << 22  # bytes of texts whose entries are sorted into one run
-PART_BYTES = 1 << 24  # bytes of the first batch's texts for each part of the index
+PART_BYTES = 1 << 22  # bytes of the first batch's texts for each part of the index
 HOT = 4096  # suffixes with one head beyond which their windows are dealt out singly
 WHOLE = -1  # mask: all windows of the place
 _LOW = np.uint64(PIECE - 1)

@@ -68,9 +68,10 @@ def match_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     Repeated urls get equal rows; no rules give the default everywhere; columns of the input that have
     one of the new names are replaced."""
     spark = pages.sparkSession
-    pages = pages.drop("host", "path", "rule", "verdict")
-    host, path = split_url(F.col(url))
-    pages = pages.withColumns({"host": host, "path": path})
+    host, path = split_url(F.col(f"`{url}`"))
+    # the input's columns travel in one, so that names of this work can't meet theirs
+    rest = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    pages = pages.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), host.alias("host"), path.alias("path"), F.pmod(F.xxhash64(F.col(f"`{url}`"), F.spark_partition_id()), F.lit(SALTS)).cast("int").alias("salt"))
     rules = rules.withColumn("rule_id", F.xxhash64("verdict", "rule_host", "rule_path")).dropDuplicates(["rule_id"])
     hosts = pages.select("host").filter("host <> ''").distinct().withColumn("key", reversed_key(F.col("host")))
     n = shuffle_partitions(spark)
@@ -89,17 +90,16 @@ def match_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     by_host = swept.select("host", F.explode("active").alias("rule_id")).join(rules, "rule_id")
     by_host = by_host.groupBy("host").agg(F.collect_list(F.struct("rule_host", "rule_path", "verdict")).alias("_rules"))
     # a host may have a third of all urls: its rules are copied to each salt
-    by_host = by_host.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pages.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in pages.columns if c not in ("html",)]), F.lit(SALTS)).cast("int"))
-    joined = salted.join(by_host, ["host", "_salt"], "left")
+    by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = pages.join(by_host, ["host", "salt"], "left")
     fits = F.filter("_rules", lambda r: F.startswith(F.col("path"), r["rule_path"]))
     ranked = F.transform(fits, lambda r: F.struct(F.length(F.concat(r["rule_host"], r["rule_path"])), F.length(r["rule_host"]), F.concat(r["rule_host"], r["rule_path"]).alias("rule"), r["verdict"].alias("verdict")))
-    best = F.array_max(ranked)
-    out = joined.withColumn("_best", best)
-    return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.verdict", F.lit(default))}).drop("_best", "_rules", "_salt")
+    out = joined.withColumn("best", F.array_max(ranked))
+    return out.select("row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, path, rule, verdict) of every row; nulls, ties, repeated rows and empty tables as in ``match_urls``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return match_urls(pages, rules_frame(spark, RULES)).select("page_id", "host", "path", "rule", "verdict")
 

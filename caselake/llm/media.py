@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_texts
+from .common import Scratch, byte_texts, slices
 
 ROW = 64
+SALTS = 4  # of references to one payload
 SCHEME = "media:sha256/"
 SILENT = ("script", "style", "template", "noscript")
 BLOCKS = ("p", "div", "br", "li", "h1", "h2", "h3", "h4", "article", "section", "td", "tr", "title", "footer", "nav")
@@ -94,7 +95,8 @@ class _Reader(HTMLParser):
             self.flush()
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
+        if tag not in SILENT:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if tag in SILENT:
@@ -129,7 +131,7 @@ def interleave(df: DataFrame, html_col: str = "html", out: str = "items") -> Dat
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[:-1]), f"`{out}` {ITEM}"])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             items = [read_items(t.decode("utf-8", "replace")) for t in byte_texts(b.column(len(rest)))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(items, _ITEM)], [*rest, out])
 
@@ -166,7 +168,7 @@ def media_table(texts: DataFrame, scratch: Scratch, text_col: str = "text", name
 
     def run(batches):
         seen: set[bytes] = set()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for t in byte_texts(b.column(0)):
                 key = hashlib.sha256(t).digest()
@@ -185,7 +187,7 @@ def facts(media: DataFrame) -> DataFrame:
     """One row a digest, from the stored bytes read back."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for key, n, stored in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 p = from_image(stored)
@@ -198,10 +200,19 @@ def facts(media: DataFrame) -> DataFrame:
 def resolve(sequences: DataFrame, media_facts: DataFrame, items: str = "items") -> DataFrame:
     """One row an item, in the order of position, with the facts of its payload; null where there is none.
 
-    A row without items stays as one row with a null position. Columns of the input stay; a digest that is
-    not in the media table keeps its position and caption."""
-    rows = sequences.withColumn("_item", F.explode_outer(items)).select(*[c for c in sequences.columns if c != items], "_item.*")
-    return rows.join(media_facts, "digest", "left")
+    A row without items stays as one row with a null position. Columns of items and facts replace columns of the
+    input with their names, the others stay; a digest that is not in the media table keeps its position and
+    caption. References are salted and each payload's facts are there for every salt, so a payload that many
+    documents name (an empty one, a logo) does not come to one task."""
+    made = {"position", "kind", "text", "digest", "caption", items, *media_facts.columns}
+    rest = F.struct(*[F.col(f"`{c}`") for c in sequences.columns if c not in made]).alias("row")
+    rows = sequences.select(rest, F.explode_outer(F.col(f"`{items}`")).alias("item")).select("row", "item.*")
+    rows = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    facts = media_facts.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    # a row without a digest meets nothing, so it gets a key of its own
+    rows = rows.withColumn("at", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("row", "position").cast("string"))))
+    joined = rows.join(facts.withColumnRenamed("digest", "at"), ["at", "salt"], "left")
+    return joined.select("row.*", "position", "kind", "text", "digest", "caption", *[c for c in media_facts.columns if c != "digest"])
 
 
 def document_figures(docs: DataFrame) -> DataFrame:
@@ -211,6 +222,9 @@ def document_figures(docs: DataFrame) -> DataFrame:
 
 
 def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position,
+    caption) of every row. Null and empty texts are one payload of 64 zeros; equal texts share a payload; repeated
+    ids keep a row each; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     stored = media_table(docs, Scratch(spark))
     rows = resolve(interleave(document_figures(docs)), facts(stored))

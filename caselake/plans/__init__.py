@@ -1,8 +1,8 @@
 """The registry of queries over the driver's tables and their SQL."""
 
-from ..operators import analytics, casework, hygiene, knowledge, text
+from ..operators import analytics, casework, hygiene, knowledge, retrieval, text, triage
 
-MODULES = (analytics, knowledge, casework, text, hygiene)
+MODULES = (analytics, knowledge, casework, text, hygiene, retrieval, triage)
 
 
 def registered() -> dict:

@@ -36,9 +36,12 @@ def approvable_counts(users: DataFrame, df: DataFrame) -> DataFrame:
     total = by.groupBy("risk").agg(F.sum("n").alias("n_all"))
     x = may.join(total, "risk", "left").join(by.select(F.col("team").alias("user_team"), "risk", "n"), ["user_team", "risk"], "left")
     x = x.withColumn("n", F.when(F.col("role") == "team_specialist", F.col("n")).otherwise(F.col("n_all")))
+    # one's own cases are taken off where they were counted: those of one's team for a specialist, else all
     own = w.groupBy(F.col("requester_id").alias("user_id"), "risk", "team").agg(F.count("*").alias("mine"))
-    x = x.join(own.groupBy("user_id", "risk").agg(F.sum("mine").alias("mine")), ["user_id", "risk"], "left")
-    return x.groupBy("user_id", "role").agg(F.sum(F.coalesce("n", F.lit(0)) - F.when(F.coalesce("n", F.lit(0)) > 0, F.coalesce("mine", F.lit(0))).otherwise(0)).alias("n_approvable"))
+    everywhere = own.groupBy("user_id", "risk").agg(F.sum("mine").alias("mine_all"))
+    x = x.join(own.withColumnRenamed("team", "user_team"), ["user_id", "risk", "user_team"], "left").join(everywhere, ["user_id", "risk"], "left")
+    mine = F.when(F.col("role") == "team_specialist", F.col("mine")).otherwise(F.col("mine_all"))
+    return x.groupBy("user_id", "role").agg(F.sum(F.coalesce("n", F.lit(0)) - F.coalesce(mine, F.lit(0))).alias("n_approvable"))
 
 
 def risk_escalation(df: DataFrame, threshold: float = 300000.0, old: str = "1996-01-01") -> DataFrame:
@@ -111,8 +114,7 @@ def trust_ladder(events: DataFrame, streak: int = 10, share: float = 0.9, review
 def sliding_counts(events: DataFrame, event: str = "click", hours: int = 24, most: int = 3) -> DataFrame:
     """Events of a kind with the number of the actor's in the interval that ends there; over the limit or not."""
     x = events.filter(F.col("event") == event)
-    x.createOrReplaceTempView("caselake_sliding")
-    x = x.sparkSession.sql(f"SELECT *, count(*) OVER (PARTITION BY actor_id ORDER BY ts RANGE BETWEEN INTERVAL {hours} HOURS PRECEDING AND CURRENT ROW) AS n_recent FROM caselake_sliding")
+    x = x.withColumn("n_recent", F.expr(f"count(*) OVER (PARTITION BY actor_id ORDER BY ts RANGE BETWEEN INTERVAL {hours} HOURS PRECEDING AND CURRENT ROW)"))
     return x.select("actor_id", "seq", "n_recent", (F.col("n_recent") > most).alias("limited"))
 
 
@@ -158,7 +160,9 @@ y AS (SELECT *, CASE WHEN n >= 3 THEN 30 WHEN n >= 1 THEN 15 ELSE 0 END AS polic
 z AS (SELECT *, policy + precedent + fields + clarity + no_conflict AS score FROM y),
 sc AS (SELECT *, CASE WHEN no_conflict = 0 AND score >= 75 THEN 'medium' WHEN score >= 75 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS band FROM z)"""
 _LEVEL = "greatest(CASE risk WHEN 'critical' THEN 3 WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END, CASE WHEN amount > 300000 THEN 2 ELSE 0 END, CASE WHEN created_at < TIMESTAMP '1996-01-01' THEN 1 ELSE 0 END)"
+_MAY = " OR ".join(f"(role = '{r}' AND risk IN ({', '.join(map(repr, v))}))" for r, v in APPROVABLE.items())
 SQL = {
+    "approvable_cases": f"WITH {CTE}, u AS (SELECT c_custkey AS user_id, {ROLE} AS role, n_name AS user_team FROM customer JOIN nation ON c_nationkey = n_nationkey), w AS (SELECT team, risk, requester_id FROM cases WHERE state = 'in_review'), t AS (SELECT team, risk, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT requester_id, team, risk, count(*) AS n FROM w GROUP BY ALL), a AS (SELECT user_id, role, sum(t.n) AS n FROM u JOIN t ON ({_MAY}) AND (role <> 'team_specialist' OR team = user_team) GROUP BY ALL), o AS (SELECT user_id, sum(m.n) AS n FROM u JOIN m ON requester_id = user_id AND ({_MAY}) AND (role <> 'team_specialist' OR team = user_team) GROUP BY 1) SELECT user_id, role, CAST(coalesce(a.n, 0) - coalesce(o.n, 0) AS BIGINT) AS n_approvable FROM u LEFT JOIN a USING (user_id, role) LEFT JOIN o USING (user_id) WHERE role IN ({', '.join(map(repr, APPROVABLE))})",
     "visible_case_counts": f"WITH {CTE}, u AS (SELECT c_custkey AS user_id, {ROLE} AS role, n_name AS user_team FROM customer JOIN nation ON c_nationkey = n_nationkey), o AS (SELECT requester_id, count(*) AS n FROM cases GROUP BY 1), t AS (SELECT team, count(*) AS n FROM cases GROUP BY 1) SELECT user_id, role, coalesce(CASE role WHEN 'ops_employee' THEN o.n WHEN 'team_specialist' THEN t.n ELSE (SELECT count(*) FROM cases) END, 0) AS n_visible FROM u LEFT JOIN o ON requester_id = user_id LEFT JOIN t ON team = user_team",
     "risk_escalation": f"WITH {CTE} SELECT case_id, ['low', 'medium', 'high', 'critical'][{_LEVEL} + 1] AS final_risk, concat_ws(',', CASE WHEN amount > 300000 THEN 'AMOUNT' END, CASE WHEN created_at < TIMESTAMP '1996-01-01' THEN 'RETROACTIVE' END, CASE WHEN risk = 'critical' THEN 'CRITICAL' END) AS reasons FROM cases",
     "confidence_score": f"WITH {CTE}, {_PER} SELECT case_id, policy, precedent, fields, clarity, no_conflict, score, band FROM sc",

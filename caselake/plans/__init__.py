@@ -1,8 +1,9 @@
 """The registry of queries over the driver's tables and their SQL."""
 
-from ..operators import analytics, casework, hygiene, knowledge, retrieval, text, triage
+from ..operators import analytics, casework, hygiene, knowledge, lifecycle, retrieval, text, triage
+from ..streaming import jobs
 
-MODULES = (analytics, knowledge, casework, text, hygiene, retrieval, triage)
+MODULES = (analytics, knowledge, casework, text, hygiene, retrieval, triage, lifecycle, jobs)
 
 
 def registered() -> dict:

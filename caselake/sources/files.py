@@ -31,10 +31,10 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def split_sections(pages: DataFrame, level: int = 2) -> DataFrame:
     """(path, position, heading, text): a runbook's parts at headings of a level; what stands before has an empty heading."""
     mark = "#" * level
-    parts = F.split(F.concat(F.lit("\n"), F.col("body")), rf"\n(?={mark} )")
+    parts = F.split("body", rf"(?m)^(?={mark} )")
     x = pages.select("path", F.posexplode(parts).alias("position", "part"))
     heading = F.regexp_extract("part", rf"\A{mark} +([^\n]*)", 1)
-    return x.select("path", "position", heading.alias("heading"), F.trim(F.regexp_replace("part", rf"\A{mark} [^\n]*\n?", "")).alias("text")).filter("heading <> '' OR text <> ''")
+    return x.select("path", "position", heading.alias("heading"), F.regexp_replace(F.regexp_replace("part", rf"\A{mark} [^\n]*\n?", ""), r"\A\s+|\s+\z", "").alias("text")).filter("heading <> '' OR text <> ''")
 
 
 def write_pages(pages: DataFrame, path: str, by: str = "status") -> None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, build_sieve, in_sieve, mix, powers, prefix_sums, shuffle_partitions, slices
+from .common import Scratch, build_sieve, in_sieve, mix, powers, prefix_sums, released, shuffle_partitions, slices
 from .tokens import PieceEncoder
 
 WINDOW = 16  # bytes the rolling hash sees
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, scratch: Scratch, tokenizer_path: str, finish=None,
             ids = assemble_all([t.encode() for t in s.column(1).to_pylist()], known, encoder)
             yield pa.RecordBatch.from_arrays([s.column(0), *finished(ids)], ["key", *made])
 
-    chunks = scratch.save(x.select("key", "text").mapInArrow(chunked, "key binary, chunk binary").distinct(), f"{name}_chunks")
+    chunks = scratch.save(x.select("key", "text").mapInArrow(released(chunked), "key binary, chunk binary").distinct(), f"{name}_chunks")
     shared = chunks.groupBy("chunk").agg(F.min("key").alias("owner"), F.max("key").alias("other")).filter("owner <> other").select("chunk", "owner")
     uses = scratch.save(chunks.join(shared, "chunk"), f"{name}_uses")
     scratch.drop(f"{name}_chunks")
@@ -250,17 +250,17 @@ def encode(docs: DataFrame, scratch: Scratch, tokenizer_path: str, finish=None,
             yield pa.RecordBatch.from_arrays(b.filter(pa.array(in_sieve(sieve.value, b.column(2).to_numpy()))).columns[:2], ["row", "key"])
 
     h = F.xxhash64("key").alias("h")
-    others = x.select("row", "text", h).mapInArrow(alone, f"row {row_type}, text string").mapInArrow(plain, out_schema)
-    texts = x.select("key", "text", h).mapInArrow(sharing, "key binary, text string").repartition(n, "key").dropDuplicates(["key"])
+    others = x.select("row", "text", h).mapInArrow(released(alone), f"row {row_type}, text string").mapInArrow(released(plain), out_schema)
+    texts = x.select("key", "text", h).mapInArrow(released(sharing), "key binary, text string").repartition(n, "key").dropDuplicates(["key"])
     texts = scratch.save_bucketed(texts, f"{name}_texts", n, "key", dealt=True)
     owned = uses.filter("key = owner").groupBy("key").agg(F.collect_list("chunk").alias("wanted"))
-    encoded = scratch.save(owned.join(texts, "key").select("wanted", "text").mapInArrow(own_chunks, "chunk binary, ids binary"), f"{name}_ids")
+    encoded = scratch.save(owned.join(texts, "key").select("wanted", "text").mapInArrow(released(own_chunks), "chunk binary, ids binary"), f"{name}_ids")
     used = uses.select("key", "chunk").join(encoded, "chunk").groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("used"))
-    found = texts.join(used, "key", "left").select("key", "text", "used").mapInArrow(with_chunks, f"key binary, {finish_schema}")
+    found = texts.join(used, "key", "left").select("key", "text", "used").mapInArrow(released(with_chunks), f"key binary, {finish_schema}")
     found = scratch.save(found, f"{name}_found")
     # a text of many rows: its rows are salted, its result, one row, is there for each salt
     salts = F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt")
-    rows = x.select("row", "key", h).mapInArrow(sharing_rows, f"row {row_type}, key binary").withColumn("salt", F.expr(f"pmod(spark_partition_id(), {SALTS})"))
+    rows = x.select("row", "key", h).mapInArrow(released(sharing_rows), f"row {row_type}, key binary").withColumn("salt", F.expr(f"pmod(spark_partition_id(), {SALTS})"))
     joined = rows.join(found.select("*", salts), ["key", "salt"])
     return others.union(joined.select(*[F.col("row")[c].alias(c) for c in rest], *made))
 

@@ -111,6 +111,25 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield b.slice(at, rows)
 
 
+def released(run):
+    """``run`` for mapInArrow, which hands memory that it has freed back to the system when its task ends.
+
+    Workers are used again by later steps, and allocators keep what the largest step took."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def byte_texts(column: pa.Array) -> list[bytes]:
     """Whole texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

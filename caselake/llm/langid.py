@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import released, slices
 
 DICT_BYTES = 64 * 1024  # of a language; bounds what the driver and each task hold: languages x this
 PIECE_CHARS = 256  # labelled text is drawn in pieces of so many characters
@@ -96,7 +96,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
             cols = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names)
 
-    return x.mapInArrow(run, schema)
+    return x.mapInArrow(released(run), schema)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

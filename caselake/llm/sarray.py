@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, mix, powers, prefix_sums, shuffle_partitions, whole_groups
+from .common import Scratch, mix, powers, prefix_sums, released, shuffle_partitions, whole_groups
 
 LENGTH = 50
 HEAD = 16
@@ -124,6 +124,7 @@ def sorted_runs(parts: int, length: int):
 
     def rows(entries, h):
         e = _joined(entries)
+        entries.clear()
         # anchors have small hashes, so these are mixed once more to deal them out evenly
         part = (((mix(np.concatenate(h)) >> _U(16)) * _U(parts)) >> _U(48)).astype(np.int64)
         o = np.lexsort((e[4], e[3], e[2], e[1], e[0], part))
@@ -413,27 +414,27 @@ class SuffixFamily:
         self.parts = self.parts or max(1, size // PART_BYTES)
         self.tables[name] = spark.table(table)
         self.segments.append((low, high, n, name))
-        runs = self.tables[name].select("doc", "tag", "text").mapInArrow(sorted_runs(self.parts, self.length), "part int, kind int, data binary")
+        runs = self.tables[name].select("doc", "tag", "text").mapInArrow(released(sorted_runs(self.parts, self.length)), "part int, kind int, data binary")
         # dealt out first, so that lists are only made where they are used
         scanned = runs.repartition(n, "part").groupBy("part").agg(F.collect_list(F.struct("kind", "data")).alias("runs"))
         for k, (_, level) in enumerate(self.levels):
             scanned = scanned.join(self.level(level).withColumnRenamed("data", f"old{k}"), "part", "left")
         found = f"{scratch.root}/found"
-        scanned.mapInArrow(merge_scan(index), FOUND).write.option("compression", "zstd").partitionBy("kind").parquet(found)
+        scanned.mapInArrow(released(merge_scan(index)), FOUND).write.option("compression", "zstd").partitionBy("kind").parquet(found)
         scratch.free()
         found = spark.read.schema(FOUND).parquet(found)
         fetched, wanted = None, found.filter("kind IN (1, 2)").select("doc", "place", "key", (F.col("kind") == 1).alias("fresh"))
         for k, (low, high, _, _) in enumerate(self.segments):
             own = wanted.filter(F.col("doc").between(low, high)).groupBy("doc").agg(F.collect_list(F.struct("place", "key", "fresh")).alias("wanted"))
-            own = self.segment(k).select("doc", "tag", "text").join(own.hint("merge"), "doc").select("doc", "tag", "text", "wanted").mapInArrow(contexts(self.length), CONTEXTS)
+            own = self.segment(k).select("doc", "tag", "text").join(own.hint("merge"), "doc").select("doc", "tag", "text", "wanted").mapInArrow(released(contexts(self.length)), CONTEXTS)
             fetched = own if fetched is None else fetched.union(own)
         fetched = scratch.save(fetched, "contexts")
         scratch.free()
         hot = [r.key for r in wanted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key").limit(HOT).collect()]
         usual = fetched.filter(~F.col("key").isin(hot)) if hot else fetched
-        settled = usual.repartition(n, "key").sortWithinPartitions("key", "suffix").mapInArrow(agreeing_windows(self.length), "doc long, place long, mask long")
+        settled = usual.repartition(n, "key").sortWithinPartitions("key", "suffix").mapInArrow(released(agreeing_windows(self.length)), "doc long, place long, mask long")
         if hot:
-            one = fetched.filter(F.col("key").isin(hot)).mapInArrow(single_windows(self.length), "window long, doc long, place long, bit long, fresh boolean")
+            one = fetched.filter(F.col("key").isin(hot)).mapInArrow(released(single_windows(self.length)), "window long, doc long, place long, bit long, fresh boolean")
             one = scratch.save(one, "windows")
             least = one.groupBy("window").agg(F.min("doc").alias("least"))
             one = one.filter("fresh").join(least, "window").filter("least < doc").select("doc", "place", F.expr("shiftleft(1L, cast(bit as int))").alias("mask"))
@@ -451,7 +452,7 @@ class SuffixFamily:
                 (size, a), (_, b) = self.levels.pop(), self.levels.pop()
                 name = f"level_{uuid.uuid4().hex[:12]}"
                 both = self.level(a).union(self.level(b)).groupBy("part").agg(F.collect_list("data").alias("runs"))
-                both.mapInArrow(merge_levels, "part int, data binary").write.option("compression", "none").parquet(f"{self.root}/{name}")
+                both.mapInArrow(released(merge_levels), "part int, data binary").write.option("compression", "none").parquet(f"{self.root}/{name}")
                 self.levels.append((2 * size, name))
             self._keep_manifest()
         scratch.drop("found")
@@ -507,7 +508,7 @@ def cut_repeats(docs: DataFrame, scratch: Scratch, finish, finish_schema: str, i
                 yield pa.RecordBatch.from_arrays([*(row[c] for c in rest), *finished(s, spans)], [*rest, *made])
 
     text = F.col(f"`{text_col}`")
-    out = docs.filter(ids.isNull() | text.isNull() | (F.octet_length(text) < length)).select(*[f"`{c}`" for c in rest], text).mapInArrow(free, out_schema)
+    out = docs.filter(ids.isNull() | text.isNull() | (F.octet_length(text) < length)).select(*[f"`{c}`" for c in rest], text).mapInArrow(released(free), out_schema)
     edges = [None, *borders, None]
     for k in range(len(edges) - 1):
         batch = docs
@@ -518,7 +519,7 @@ def cut_repeats(docs: DataFrame, scratch: Scratch, finish, finish_schema: str, i
         got = family.add(batch, id_col, text_col, index=keep_index or k < len(edges) - 2)
         if got:
             segment = family.segment(got[0]).join(got[1].hint("merge"), "doc", "left").select("row", "tag", "covered", "text")
-            out = out.union(segment.mapInArrow(held, out_schema))
+            out = out.union(segment.mapInArrow(released(held), out_schema))
     return out
 
 

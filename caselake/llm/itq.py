@@ -1,12 +1,16 @@
 """Embedding near-dedup: iterative quantisation, multi-index Hamming tables, reranking with the vectors.
 
 Rotations learned on a bounded sample turn vectors into balanced binary codes. The codes are cut into
-substrings, one for each table; vectors of a label that agree on a substring meet in that table's bucket and
-are compared there by cosine in double precision. The substring length follows the logarithm of the largest
-label, so buckets stay small, and the number of tables follows from the bits that pairs at the threshold, made
-around sampled vectors, are found to agree on after centring. Where too many tables were needed (vectors that
-are close to their mean), substrings get shorter, down to none, when all vectors of a label are compared. A pair counts in the first table that it meets in, so every link counts once, and
-only counts and a spanning forest of each bucket leave it.
+substrings, one for each table; codes of a label that agree on a substring meet in that table's bucket, and
+those with another one there within the radius are joined with their vectors and compared by cosine in double
+precision. Only codes go into the tables; a vector goes where its code has a candidate.
+
+The substring length follows the logarithm of the largest label, so buckets stay small. The number of tables
+and the radius follow from pairs at the threshold that are made around sampled vectors: the bits they agree on
+after centring, and their largest distance. Where too many tables were needed (vectors that are close to their
+mean), substrings get shorter, down to none, when all vectors of a label are compared. A pair counts in the
+first table that it meets in, so every link counts once, and only counts and a spanning forest of each bucket
+leave it.
 """
 
 from __future__ import annotations
@@ -15,10 +19,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, connected_components, shuffle_partitions, whole_groups
+from .common import Scratch, connected_components, released, shuffle_partitions, slices, whole_groups
 
 THRESHOLD = 0.93
 SAMPLE = 8192  # vectors a dimension that the rotations are fitted on
@@ -59,13 +65,18 @@ def pairs_at(x: np.ndarray, threshold: float, rng: np.random.Generator) -> tuple
     return a, threshold * a + math.sqrt(1 - threshold**2) * u
 
 
-def codes(x: np.ndarray, bits: int, tables: int, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
+def signs(x: np.ndarray, bits: int, tables: int, mean: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """The bits of all substrings, table by table."""
+    return ((x - mean) @ turn > 0)[:, : bits * tables]
+
+
+def numbers(code: np.ndarray, bits: int, tables: int) -> np.ndarray:
     """Rows of the substrings' numbers, one for each table."""
-    return ((x - mean) @ turn > 0)[:, : bits * tables].reshape(len(x), tables, bits) @ (1 << np.arange(bits))
+    return code.reshape(len(code), tables, bits) @ (1 << np.arange(bits))
 
 
-def plan(x: np.ndarray, largest: int, threshold: float = THRESHOLD) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """(bits of a substring, tables, mean, turn) for sampled vectors and the number of vectors of the largest label."""
+def plan(x: np.ndarray, largest: int, threshold: float = THRESHOLD) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """(bits of a substring, tables, radius, mean, turn) for sampled vectors and the number of vectors of the largest label."""
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     dim, rng = x.shape[1], np.random.default_rng(11)
     mean, turn = fit(x, 2)
@@ -77,11 +88,42 @@ def plan(x: np.ndarray, largest: int, threshold: float = THRESHOLD) -> tuple[int
         tables = next((t for t in range(1, MOST_TABLES + 1) if (missed**t).mean() <= MISS), None)
         while tables and tables <= MOST_TABLES:
             mean, turn = fit(x, -(-bits * tables // dim))
-            found = (codes(other[0], bits, tables, mean, turn) == codes(other[1], bits, tables, mean, turn)).any(axis=1)
-            if found.mean() >= RECALL:
-                return bits, tables, mean, turn
+            one, two = (signs(o, bits, tables, mean, turn) for o in other)
+            if (numbers(one, bits, tables) == numbers(two, bits, tables)).any(axis=1).mean() >= RECALL:
+                return bits, tables, int((one != two).sum(axis=1).max()), mean, turn
             tables += -(-tables // 4)
-    return 0, 1, mean, np.zeros((dim, 0))
+    return 0, 1, 0, mean, np.zeros((dim, 0))
+
+
+def unit_rows(v: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length 1, in double precision."""
+    x = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def unpacked(packed: pa.Array) -> np.ndarray:
+    """Rows of the bytes of binary values of one width."""
+    return np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(len(packed), -1)
+
+
+def pairs_within(words: np.ndarray, stop: np.ndarray, radius: np.ndarray):
+    """Pairs of rows of one group whose codes differ in ``radius`` bits at most, in steps of one distance in rows;
+    ``stop`` is the end of each row's group."""
+    i, d = np.arange(len(words)), 1
+    while len(i := i[i + d < stop[i]]):
+        near = np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1) <= radius[i]
+        if near.any():
+            yield i[near], i[near] + d
+        d += 1
+
+
+def first_meeting(c: np.ndarray, i: np.ndarray, j: np.ndarray, tab: np.ndarray) -> np.ndarray:
+    """Whether pairs agree on no substring before that of their table."""
+    new = np.ones(len(i), bool)
+    for k in range(int(tab.max(initial=0))):
+        new &= (c[i, k] != c[j, k]) | (tab <= k)
+    return new
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -106,7 +148,9 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id"
     counts as a vector of its own, also with a repeated id. An empty table gives no rows."""
     spark = vectors.sparkSession
     n = shuffle_partitions(spark)
-    x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vector_col].dataType
+    held = "array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>"
+    x = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast(held).alias("v"))
     good = F.expr("label IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, e -> e IS NOT NULL AND NOT isnan(e) AND abs(e) < double('Infinity')) AND exists(v, e -> e <> 0)")
     good = F.coalesce(good, F.lit(False))
     keys = [F.when(good, F.xxhash64(F.lit(k), "label", "v")).alias(f"k{k}") for k in (1, 2)]
@@ -119,48 +163,78 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id"
         sample = reps.filter(F.col("dim") == r.dim).orderBy(F.xxhash64("k1")).limit(SAMPLE).select("v").collect()
         models[r.dim] = plan(np.array([s.v for s in sample]), r.n, threshold)
 
-    def coded(with_vectors: bool):
+    # codes of all lengths of vectors take the same number of words
+    width = 8 * max([1, *(-(-m[0] * m[1] // 64) for m in models.values())])
+
+    def coded(with_codes: bool):
         def run(batches):
-            for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    s = b.slice(at, 512)
-                    out = {k: [] for k in ("label", "dim", "tab", "bucket", "key", "copies", "vec", "codes")}
-                    for label, dim, key, copies, v in zip(*(s.column(c).to_pylist() for c in ("label", "dim", "k1", "copies", "v"))):
-                        bits, tables, mean, turn = models[dim]
-                        a = np.array(v)
-                        a /= np.abs(a).max()
-                        a /= np.linalg.norm(a)
-                        code = codes(a[None], bits, tables, mean, turn)[0]
-                        packed, vec = code.astype("<u4").tobytes(), a.tobytes() if with_vectors else b""
-                        for tab, bucket in enumerate(code.tolist()):
-                            for k, value in zip(out, (label, dim, tab, bucket, key, copies, vec, packed if with_vectors else b"")):
-                                out[k].append(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out.values(), (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], list(out))
-
-        return reps.select("label", "dim", "k1", "copies", "v").mapInArrow(run, "label string, dim int, tab int, bucket long, key long, copies long, vec binary, codes binary")
+            for b in slices(batches):
+                for dim in b.column("dim").unique().to_pylist():
+                    s = b.filter(pc.equal(b.column("dim"), dim))
+                    bits, tables, _, mean, turn = models[dim]
+                    code = signs(unit_rows(s.column("v")), bits, tables, mean, turn)
+                    row = np.repeat(np.arange(len(code)), tables)
+                    if with_codes:
+                        packed = np.zeros((len(code), width), np.uint8)
+                        packed[:, : -(-code.shape[1] // 8)] = np.packbits(code, axis=1)
+                        held = pa.array([p.tobytes() for p in packed], pa.binary()).take(row)
+                    else:
+                        held = pa.array([b""], pa.binary()).take(np.zeros(len(row), np.int64))
+                    tab = np.tile(np.arange(tables, dtype=np.int32), len(code))
+                    columns = [s.column("label").take(row), pa.array(np.full(len(row), dim, np.int32)), pa.array(tab), pa.array(numbers(code, bits, tables).ravel().astype(np.int32)), s.column("k1").take(row), held]
+                    yield pa.RecordBatch.from_arrays(columns, ["label", "dim", "tab", "bucket", "key", "code"])
+
+        return reps.select("label", "dim", "k1", "v").mapInArrow(released(run), "label string, dim int, tab int, bucket int, key long, code binary")
 
     where = ["label", "dim", "tab", "bucket"]
     large = coded(False).groupBy(*where).agg(F.count("*").alias("n")).filter(F.col("n") > TILE).withColumn("parts", F.ceil(F.col("n") / TILE).cast("int")).drop("n")
     tiles = coded(True).join(large, where, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
     by = [*where, "p", "q"]
-    tiles = tiles.select(*by, "part", "key", "copies", "vec", "codes").repartition(n, *by).sortWithinPartitions(*by)
+    tiles = tiles.select(*by, "part", "key", "code").repartition(n, *by).sortWithinPartitions(*by)
+
+    def substrings(raw, dims):
+        c = np.zeros((len(raw), max(m[1] for m in models.values())), np.int64)
+        for dim in np.unique(dims):
+            bits, tables = models[int(dim)][:2]
+            at = np.flatnonzero(dims == dim)
+            c[at, :tables] = numbers(np.unpackbits(raw[at], axis=1)[:, : bits * tables], bits, tables)
+        return c
+
+    def candidates(batches):
+        for t, starts in whole_groups(batches, by):
+            dims, tab, part = (t[k].to_numpy() for k in ("dim", "tab", "part"))
+            across = t["p"].to_numpy() != t["q"].to_numpy()
+            raw = unpacked(t["code"])
+            ends = np.append(starts[1:], t.num_rows)
+            radius = np.array([models[d][2] for d in dims.tolist()])
+            c, marked = substrings(raw, dims), np.zeros(t.num_rows, bool)
+            for i, j in pairs_within(raw.view(np.uint64), np.repeat(ends, ends - starts), radius):
+                ok = ~across[i] | (part[i] != part[j])
+                i, j = i[ok], j[ok]
+                ok = first_meeting(c, i, j, tab[i])
+                marked[i[ok]] = marked[j[ok]] = True
+            if marked.any():
+                yield from t.filter(pa.array(marked)).to_batches()
+
+    near = tiles.mapInArrow(released(candidates), tiles.schema)
+    near = near.join(reps.select(F.col("k1").alias("key"), "copies", "v"), "key").select(*by, "part", "key", "copies", "v", "code")
+    near = near.repartition(n, *by).sortWithinPartitions(*by)
 
     def compare(batches):
         for t, starts in whole_groups(batches, by):
             keys, copies, part = t["key"].to_numpy(), t["copies"].to_numpy(), t["part"].to_numpy()
-            tab, p, q = t["tab"].to_numpy(), t["p"].to_numpy(), t["q"].to_numpy()
-            vecs, codes = t["vec"], t["codes"]
+            dims, tab, p, q = (t[k].to_numpy() for k in ("dim", "tab", "p", "q"))
+            c = substrings(unpacked(t["code"]), dims)
+            vectors = t["v"].combine_chunks()
             a_out, b_out, links_out = [], [], []
             for at, end in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows]):
-                if end - at < 2:
-                    continue
-                v = np.frombuffer(b"".join(vecs[at:end].to_pylist())).reshape(end - at, -1)
-                c = np.frombuffer(b"".join(codes[at:end].to_pylist()), "<u4").reshape(end - at, -1)
+                v = unit_rows(vectors.slice(at, end - at))
                 i, j = np.nonzero(np.triu(v @ v.T >= threshold, 1))
-                ok = ~(c[i, : tab[at]] == c[j, : tab[at]]).any(axis=1)
                 if p[at] != q[at]:
-                    ok &= part[at:end][i] != part[at:end][j]
+                    ok = part[at:end][i] != part[at:end][j]
+                    i, j = i[ok], j[ok]
+                ok = first_meeting(c[at:end], i, j, np.full(len(i), tab[at]))
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
@@ -174,7 +248,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, id_col: str = "vec_id"
             if a_out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a_out, b_out, links_out)], ["a", "b", "links"])
 
-    found = scratch.save(tiles.mapInArrow(compare, "a long, b long, links long"), "found")
+    found = scratch.save(near.mapInArrow(released(compare), "a long, b long, links long"), "found")
     links = found.groupBy(F.col("a").alias("k1")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.select("a", "b"), scratch).withColumnRenamed("id", "k1")
     known = reps.select("k1", "k2", "rep", "copies").join(links, "k1", "left").join(parts, "k1", "left").withColumn("component", F.coalesce("component", "k1"))

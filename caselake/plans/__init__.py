@@ -1,9 +1,9 @@
 """The registry of queries over the driver's tables and their SQL."""
 
-from ..operators import analytics, casework, hygiene, knowledge, lifecycle, retrieval, text, triage, views
+from ..operators import analytics, casework, hygiene, knowledge, lifecycle, masking, retrieval, text, triage, views
 from ..streaming import jobs
 
-MODULES = (analytics, knowledge, casework, text, hygiene, retrieval, triage, lifecycle, views, jobs)
+MODULES = (analytics, knowledge, casework, text, hygiene, retrieval, triage, lifecycle, views, masking, jobs)
 
 
 def registered() -> dict:

@@ -1,6 +1,11 @@
-"""Sessions for local work; on a cluster the caller brings its own."""
+"""Sessions for local work, on a cluster the caller brings its own; and tables written to the shared folder."""
 
-from pyspark.sql import SparkSession
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -9,3 +14,22 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.shuffle.partitions", str(partitions)).config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
     )
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); a local one only for a local master that has none, as in tests."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="caselake-"))
+        root = sc.getCheckpointDir()
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read again: its lineage is cut, and lost executors cost no more than a read."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -26,14 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, mix, powers, prefix_sums, released, shuffle_partitions, whole_groups
+from .common import BYTE_CODE, Scratch, mix, powers, prefix_sums, released, shuffle_partitions, whole_groups
 
 LENGTH = 50
 HEAD = 16
 BATCHES = 2
 PIECE = 1 << 20  # bytes of a text looked at together; windows go on over the border
 SLICE = 1 << 22  # bytes of texts whose entries are sorted into one run
-PART_BYTES = 1 << 22  # bytes of the first batch's texts for each part of the index
+PART_BYTES = 1 << 22  # bytes of a batch's texts for each part of the index
+TEXTS_OF_ID = 1 << 20  # different texts with one id that can be told apart
 HOT = 4096  # suffixes with one head beyond which their windows are dealt out singly
 WHOLE = -1  # mask: all windows of the place
 _LOW = np.uint64(PIECE - 1)
@@ -68,12 +69,13 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
 
 
 def pack_place(tag, first, windows, lead) -> np.ndarray:
-    """One number: which of the texts with one id, first window, number of windows, bytes before the anchor."""
-    return (np.int64(tag) << 52) | (first << 12) | (windows << 6) | lead
+    """One number: which of the texts with one id (20 bits), first window (31 bits, as a text has less than 2 GB),
+    number of windows, bytes before the anchor."""
+    return (np.int64(tag) << 43) | (first << 12) | (windows << 6) | lead
 
 
 def unpack_place(x: np.ndarray):
-    return x >> 52, (x >> 12) & ((1 << 40) - 1), (x >> 6) & 63, x & 63
+    return x >> 43, (x >> 12) & ((1 << 31) - 1), (x >> 6) & 63, x & 63
 
 
 def pack_run(k1, k2, form, doc, place) -> bytes:
@@ -118,6 +120,11 @@ def _table(names, *cols):
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
 
+def part_of(heads: np.ndarray, parts: int) -> np.ndarray:
+    """Parts of hashed heads; anchors have small hashes, so these are mixed once more to deal them out evenly."""
+    return (((mix(heads) >> _U(16)) * _U(parts)) >> _U(48)).astype(np.int64)
+
+
 def sorted_runs(parts: int, length: int):
     """Rows (part, kind, data) of rows (doc, tag, text): sorted runs (kind 0), and places that a smaller document
     of the same slice covers (kind 1), so that a form comes once from a slice however many documents hold it."""
@@ -125,8 +132,7 @@ def sorted_runs(parts: int, length: int):
     def rows(entries, h):
         e = _joined(entries)
         entries.clear()
-        # anchors have small hashes, so these are mixed once more to deal them out evenly
-        part = (((mix(np.concatenate(h)) >> _U(16)) * _U(parts)) >> _U(48)).astype(np.int64)
+        part = part_of(np.concatenate(h), parts)
         o = np.lexsort((e[4], e[3], e[2], e[1], e[0], part))
         e, part = tuple(c[o] for c in e), part[o]
         begin = np.flatnonzero(_begins(e[0], e[1], e[2]))
@@ -342,7 +348,7 @@ class SuffixFamily:
     """An index family in a folder: texts of each batch, and levels of sorted sparse suffixes.
 
     The folder's manifest names the current segments and levels; opening a folder that has one goes on from
-    there, in this session or a later one. The number of parts follows the bytes of the first batch."""
+    there, in this session or a later one. The number of parts follows the bytes of the largest batch so far."""
 
     def __init__(self, spark: SparkSession, root: str, length: int = LENGTH):
         self.spark, self.root, self.length, self.version = spark, root.rstrip("/"), length, 0
@@ -384,6 +390,15 @@ class SuffixFamily:
             self.tables[name] = self.spark.table(table)
         return self.tables[name]
 
+    def _deal_levels(self, parts: int) -> None:
+        """Levels in more parts, for a batch that is larger than those before, so that no part of it grows with it."""
+        for k, (size, old) in enumerate(self.levels):
+            name = f"level_{uuid.uuid4().hex[:12]}"
+            dealt = self.level(old).mapInArrow(released(dealt_levels(parts)), "part int, data binary").groupBy("part").agg(F.collect_list("data").alias("runs"))
+            dealt.mapInArrow(released(merge_levels), "part int, data binary").write.option("compression", "none").parquet(f"{self.root}/{name}")
+            self.levels[k] = (size, name)
+        self.parts = parts
+
     def level(self, name: str) -> DataFrame:
         return self.spark.read.schema("part int, data binary").parquet(f"{self.root}/{name}")
 
@@ -400,18 +415,22 @@ class SuffixFamily:
         rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
         x = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("text"), rest.alias("row")).filter(f"doc IS NOT NULL AND octet_length(text) >= {self.length}")
         name = f"segment_{uuid.uuid4().hex[:12]}"
-        tag = F.least(F.dense_rank().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"))) - 1, F.lit(2047))
+        tag = F.dense_rank().over(Window.partitionBy("doc").orderBy(F.xxhash64("text"))) - 1
         table = f"caselake_{name}"
         (x.repartition(n, "doc").select("doc", tag.alias("tag"), "text", "row").write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
          .bucketBy(n, "doc").sortBy("doc").saveAsTable(table))
         scratch.free()
-        low, high, size = spark.table(table).agg(F.min("doc"), F.max("doc"), F.sum(F.octet_length("text"))).first()
+        low, high, size, most = spark.table(table).agg(F.min("doc"), F.max("doc"), F.sum(F.octet_length("text")), F.max("tag")).first()
         if low is None:
             spark.sql(f"DROP TABLE {table}")
             return None
         if self.segments and low <= max(s[1] for s in self.segments):
             raise ValueError("ids of a batch must be larger than those of earlier batches")
-        self.parts = self.parts or max(1, size // PART_BYTES)
+        if most >= TEXTS_OF_ID:
+            raise ValueError(f"more than {TEXTS_OF_ID} different texts have one id")
+        parts = max(1, size // PART_BYTES)
+        if parts > 2 * self.parts:
+            self._deal_levels(parts)
         self.tables[name] = spark.table(table)
         self.segments.append((low, high, n, name))
         runs = self.tables[name].select("doc", "tag", "text").mapInArrow(released(sorted_runs(self.parts, self.length)), "part int, kind int, data binary")
@@ -430,11 +449,12 @@ class SuffixFamily:
             fetched = own if fetched is None else fetched.union(own)
         fetched = scratch.save(fetched, "contexts")
         scratch.free()
-        hot = [r.key for r in wanted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key").limit(HOT).collect()]
-        usual = fetched.filter(~F.col("key").isin(hot)) if hot else fetched
+        hot_keys = scratch.save(wanted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot")
+        hot = not hot_keys.isEmpty()
+        usual = fetched.join(hot_keys, "key", "left_anti").select(*fetched.columns) if hot else fetched
         settled = usual.repartition(n, "key").sortWithinPartitions("key", "suffix").mapInArrow(released(agreeing_windows(self.length)), "doc long, place long, mask long")
         if hot:
-            one = fetched.filter(F.col("key").isin(hot)).mapInArrow(released(single_windows(self.length)), "window long, doc long, place long, bit long, fresh boolean")
+            one = fetched.join(hot_keys, "key", "left_semi").select(*fetched.columns).mapInArrow(released(single_windows(self.length)), "window long, doc long, place long, bit long, fresh boolean")
             one = scratch.save(one, "windows")
             least = one.groupBy("window").agg(F.min("doc").alias("least"))
             one = one.filter("fresh").join(least, "window").filter("least < doc").select("doc", "place", F.expr("shiftleft(1L, cast(bit as int))").alias("mask"))
@@ -459,6 +479,24 @@ class SuffixFamily:
         return len(self.segments) - 1, covered
 
 
+def dealt_levels(parts: int):
+    """Rows (part, data) of a level, each split by the parts that its heads fall into."""
+
+    def run(batches):
+        place = powers(HEAD)
+        for b in batches:
+            for data in b.column(1).to_pylist():
+                e = unpack_run(data)
+                heads = np.stack(e[:2], axis=1).astype(">u8").view(np.uint8).reshape(-1, HEAD)
+                part = part_of(mix((BYTE_CODE[heads] * place).sum(axis=1, dtype=np.uint64)), parts)
+                o = np.argsort(part, kind="stable")
+                at = np.append(np.flatnonzero(_begins(part[o])), len(o)).tolist()
+                for a, z in zip(at, at[1:]):
+                    yield pa.RecordBatch.from_arrays([pa.array([part[o[a]]], pa.int32()), pa.array([pack_run(*(c[o[a:z]] for c in e))], pa.binary())], ["part", "data"])
+
+    return run
+
+
 def merge_levels(batches):
     """One sorted array of each part, of every form the smallest document."""
     for b in batches:

@@ -39,3 +39,34 @@ def test_upsert_and_log(spark, tmp_path):
 def test_numbers_follow_the_order(spark):
     got = files.numbered(spark.createDataFrame([(k * 7 % 100,) for k in range(100)], "at int"), "at", ranges=4).collect()
     assert [r["id"] for r in sorted(got, key=lambda r: r["at"])] == [f"CASE-{k + 1:06d}" for k in range(100)]
+
+
+def test_numbers_of_many_rows_differ_and_stay_whole(spark):
+    df = spark.range(300_000).selectExpr("cast(id % 1000 as int) AS at", "id AS v", "'x' AS id", "1 AS p", "2 AS o")
+    x = files.numbered(df, "at", start=900_000).selectExpr("at", "cast(substring(id, 6) as long) AS n", "length(id) AS l")
+    assert x.agg({"n": "min"}).first()[0] == 900_000 and x.agg({"n": "max"}).first()[0] == 1_199_999
+    assert x.select("n").distinct().count() == 300_000 and {r.l for r in x.select("l").distinct().collect()} == {11, 12}
+    assert x.groupBy("at").agg({"n": "max"}).selectExpr("at", "`max(n)` AS m").join(x.groupBy("at").agg({"n": "min"}).selectExpr("at + -1 AS at", "`min(n)` AS next"), "at").filter("m >= next").isEmpty()
+    assert files.numbered(df.limit(0), "at").collect() == []
+
+
+def test_two_writers_of_one_log(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    log = f"{tmp_path}/log"
+
+    def add(rows):
+        try:
+            files.append_audit(spark.createDataFrame(rows, "seq long, e string"), log)
+            return True
+        except ValueError:
+            return False
+
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(add, [[(1, w), (2, w)] for w in "abcd"]))
+    assert got.count(True) == 1 and files.read_audit(spark, log).count() == 2
+    assert not add([]) and not add([(5, "x"), (5, "y")]) and not add([(None, "x")]) and add([(5, "x")]) and not add([(4, "x")])
+    # a writer that stopped between its claim and its move
+    spark.createDataFrame([(9, "z")], "seq long, e string").write.parquet(f"{log}/_staged/left")
+    assert files._Log(spark, log).claim(2, {"low": 9, "high": 9, "n": 1, "folder": "left"})
+    assert sorted(r.seq for r in files.read_audit(spark, log).collect()) == [1, 2, 5, 9]

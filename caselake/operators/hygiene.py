@@ -120,6 +120,11 @@ def mask_tokens(df: DataFrame) -> DataFrame:
     return x.groupBy("source", "token").agg(F.count("*").alias("n"))
 
 
+def hashed_buckets(text: Column, size: int = 512) -> Column:
+    """The bucket of each stem of a text: its md5 modulo ``size``, which divides 4096."""
+    return F.transform(stems(text), lambda t: F.conv(F.right(F.md5(t.cast("binary")), F.lit(3)), 16, 10).cast("int") % size)
+
+
 def hashed_vectors(df: DataFrame, key: str, text: str = "text", size: int = 512) -> DataFrame:
     """Sparse unit vectors (key, bucket, weight) of stems; a stem's bucket is its md5 modulo ``size``, which divides 4096."""
     x = df.select(key, F.explode(stems(F.col(text))).alias("t")).select(key, (F.conv(F.right(F.md5(F.col("t").cast("binary")), F.lit(3)), 16, 10).cast("int") % size).alias("bucket"))

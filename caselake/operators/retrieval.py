@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.surrogate import table
-from .hygiene import hashed_vectors
+from .hygiene import hashed_buckets
+from .scan import lists_of, top_k, unit_counts
 from .text import _tokens, stems
 
 #: BM25's parameters, and the share of the mean idf that a negative idf is raised to.
@@ -20,46 +24,82 @@ def okapi_idf(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stats = x.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     df = x.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = written(raw, "idf")
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     return idf, stats.crossJoin(idf.agg(F.max("idf").alias("idf_max")))
 
 
-def bm25_absolute(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(item_id, doc_id, bm25) in 0..1: the score over what a document of average length with every query term once
-    would get. Query terms count as often as they stand; one that no document has counts with the largest idf.
+def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.10) -> DataFrame:
+    """Top k documents of each query (a stated set) by half absolute BM25 and half cosine of hashed vectors, from
+    ``floor`` on; ties by id. A document is scored in its own row against all queries; no pair is shuffled.
 
-    Terms that no query has are dropped before anything is shuffled."""
+    Absolute BM25 is the score over what a document of average length with every query term once would get; query
+    terms count as often as they stand, and one that no document has counts with the largest idf."""
     idf, stats = okapi_idf(docs)
     terms = queries.select("item_id", F.explode(stems(F.col("text"))).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("qf"))
-    weighted = terms.join(idf, "token", "left").crossJoin(F.broadcast(stats)).withColumn("w", F.greatest(F.coalesce("idf", "idf_max"), F.lit(0.0)))
-    best = weighted.groupBy("item_id").agg(F.sum(F.col("qf") * F.col("w")).alias("best"))
-    x = docs.select("doc_id", stems(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("token"))
-    post = x.join(terms.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
-    hits = post.join(weighted.filter("idf IS NOT NULL"), "token")
-    s = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = hits.groupBy("item_id", "doc_id").agg(F.sum(s).alias("s")).join(best, "item_id")
-    return hits.select("item_id", "doc_id", F.when(F.col("best") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s") / F.col("best")))).otherwise(0.0).alias("bm25"))
+    weighted = terms.join(idf, "token", "left").crossJoin(F.broadcast(stats.select("idf_max"))).withColumn("w", F.greatest(F.coalesce("idf", "idf_max"), F.lit(0.0)))
+    per = weighted.groupBy("item_id").agg(F.sum(F.col("qf") * F.col("w")).alias("best"), F.collect_list(F.struct("token", (F.col("qf") * F.col("idf")).alias("w"))).alias("terms"))
+    # small, and read in every pass
+    q = written(queries.select("item_id", hashed_buckets(F.col("text")).alias("buckets")).join(per, "item_id", "left"), "query-terms")
+    avgdl = docs.agg(F.avg(F.size(stems(F.col("text"))))).first()[0] or 1.0
 
+    def prepare(q: pa.StructArray):
+        vectors, rows = unit_counts(q.field("buckets"), 512), q.field("terms").to_pylist()
+        place: dict[str, int] = {}
+        for row in rows:
+            for t in row or ():
+                if t["w"] is not None:
+                    place.setdefault(t["token"], len(place))
+        weights = np.zeros((len(place) + 1, len(rows)))
+        for at, (row, best) in enumerate(zip(rows, q.field("best").to_pylist())):
+            for t in row or ():
+                if t["w"] is not None and best:
+                    weights[place[t["token"]], at] = t["w"] / best
 
-def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, floor: float = 0.10) -> DataFrame:
-    """Top k documents of each query by half absolute BM25 and half cosine of hashed vectors, from ``floor`` on; ties
-    by id. Queries meet documents by shared buckets, so this is for a stated query set."""
-    d, q = hashed_vectors(docs, "doc_id"), hashed_vectors(queries, "item_id").withColumnRenamed("weight", "w")
-    cosine = d.join(q, "bucket").groupBy("item_id", "doc_id").agg(F.sum(F.col("weight") * F.col("w")).alias("cosine"))
-    both = cosine.join(bm25_absolute(docs, queries), ["item_id", "doc_id"], "full")
-    x = both.withColumn("score", F.round(0.5 * F.coalesce("bm25", F.lit(0.0)) + 0.5 * F.coalesce("cosine", F.lit(0.0)), 5)).filter(F.col("score") >= floor)
-    return x.withColumn("rank", F.expr("row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)")).filter(F.col("rank") <= k).select("item_id", "doc_id", "score", "rank")
+        def score(d: pa.StructArray) -> np.ndarray:
+            lexical = np.zeros((len(d), len(rows)))
+            for at, tokens in enumerate(d.field("t").to_pylist()):
+                known = np.array([place[t] for t in tokens or () if t in place], np.int64)
+                if len(known):
+                    own, tf = np.unique(known, return_counts=True)
+                    lexical[at] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tokens) / avgdl))) @ weights[own]
+            return np.round(0.5 * np.clip(lexical, 0.0, 1.0) + 0.5 * (unit_counts(d.field("buckets"), 512) @ vectors.T), 5)
+
+        return score
+
+    found = top_k(docs.select("doc_id", stems(F.col("text")).alias("t"), hashed_buckets(F.col("text")).alias("buckets")), q, "doc_id", "item_id", prepare, k, floor)
+    return found.select("item_id", "doc_id", "score", "rank")
 
 
 def vector_topk(vectors: DataFrame, k: int = 5) -> DataFrame:
-    """The k nearest vectors of the same label of every vector whose id is divisible by 20, by cosine; ties by id."""
-    x = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v")).filter("label IS NOT NULL AND v IS NOT NULL")
-    x = x.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))).filter("norm > 0")
-    q = x.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("w"), F.col("norm").alias("w_norm"))
-    pairs = x.join(q, "label").filter("vec_id <> query_id AND size(v) = size(w)")
-    pairs = pairs.withColumn("cosine", F.round(F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda a, e: a + e) / (F.col("norm") * F.col("w_norm")), 5))
-    return pairs.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id)")).filter(F.col("rank") <= k).select("query_id", "vec_id", "cosine", "rank")
+    """The k nearest vectors of the same label of every vector whose id is divisible by 20, by cosine; ties by id.
+
+    Null, zero or unlike long vectors, and those with a null or non-finite component, are no match."""
+    x = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v")).filter("label IS NOT NULL AND size(v) > 0 AND NOT exists(v, e -> e IS NULL)")
+
+    def matrix(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        parts = lists_of(rows.field("v"))
+        out, size = np.zeros((len(parts), max(map(len, parts), default=0))), np.array([len(p) for p in parts])
+        for at, p in enumerate(parts):
+            out[at, : len(p)] = p
+        with np.errstate(all="ignore"):
+            return out / np.linalg.norm(out, axis=1, keepdims=True), size, np.array(rows.field("label").to_pylist(), object), rows.field("_id").to_numpy()
+
+    def prepare(q: pa.StructArray):
+        w, size, label, ids = matrix(q)
+
+        def score(d: pa.StructArray) -> np.ndarray:
+            v, own, kind, own_ids = matrix(d)
+            n = min(v.shape[1], w.shape[1])
+            fits = (own[:, None] == size) & (kind[:, None] == label) & (own_ids[:, None] != ids)
+            with np.errstate(all="ignore"):
+                return np.where(fits, np.round(v[:, :n] @ w[:, :n].T, 5), np.nan)
+
+        return score
+
+    found = top_k(x, x.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), "vec_id", "query_id", prepare, k)
+    return found.select("query_id", "vec_id", F.col("score").alias("cosine"), "rank")
 
 
 QUERIES = {

@@ -1,9 +1,9 @@
 """The registry of queries over the driver's tables and their SQL."""
 
-from ..operators import analytics, casework, hygiene, knowledge, lifecycle, masking, retrieval, text, topics, triage, views
+from ..operators import analytics, casework, hygiene, knowledge, lifecycle, masking, precedents, retrieval, text, topics, triage, views
 from ..streaming import jobs, timers
 
-MODULES = (analytics, knowledge, casework, text, hygiene, retrieval, triage, lifecycle, views, masking, topics, jobs, timers)
+MODULES = (analytics, knowledge, casework, text, hygiene, retrieval, triage, lifecycle, views, masking, precedents, topics, jobs, timers)
 
 
 def registered() -> dict:

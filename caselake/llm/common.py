@@ -68,6 +68,13 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def row_hash(df: DataFrame, *columns: str):
+    """A hash of columns of any type: those that hold maps, which have no hash, by their JSON."""
+    whole = F.struct(*[F.col(c) for c in columns])
+    maps = any("map<" in df.select(F.col(c).alias("c")).schema["c"].dataType.simpleString() for c in columns)
+    return F.xxhash64(F.to_json(whole)) if maps else F.xxhash64(*columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

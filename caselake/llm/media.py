@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_texts, slices
+from .common import Scratch, byte_texts, row_hash, slices
 
 ROW = 64
 SALTS = 4  # of references to one payload
@@ -210,7 +210,7 @@ def resolve(sequences: DataFrame, media_facts: DataFrame, items: str = "items")
     rows = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     facts = media_facts.withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
     # a row without a digest meets nothing, so it gets a key of its own
-    rows = rows.withColumn("at", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("row", "position").cast("string"))))
+    rows = rows.withColumn("at", F.coalesce("digest", F.concat(F.lit("-"), row_hash(rows, "row", "position").cast("string"))))
     joined = rows.join(facts.withColumnRenamed("digest", "at"), ["at", "salt"], "left")
     return joined.select("row.*", "position", "kind", "text", "digest", "caption", *[c for c in media_facts.columns if c != "digest"])
 

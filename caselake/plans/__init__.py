@@ -1,9 +1,9 @@
 """The registry of queries over the driver's tables and their SQL."""
 
-from ..operators import access, analytics, casework, edits, hygiene, knowledge, lifecycle, masking, precedents, provenance, retrieval, text, topics, triage, views
+from ..operators import access, analytics, casework, edits, guards, hygiene, knowledge, lifecycle, masking, precedents, provenance, retrieval, text, topics, triage, views
 from ..streaming import jobs, timers
 
-MODULES = (analytics, knowledge, casework, text, hygiene, retrieval, triage, lifecycle, views, masking, precedents, access, edits, provenance, topics, jobs, timers)
+MODULES = (analytics, knowledge, casework, text, hygiene, retrieval, triage, lifecycle, views, masking, precedents, access, edits, guards, provenance, topics, jobs, timers)
 
 
 def registered() -> dict:

@@ -140,7 +140,6 @@ QUERIES = {
     "supersession": lambda s, d: supersession(citations(s, d), policies(s, d)),
     "lint_contradiction": lambda s, d: contradictions(policies(s, d)),
     "policy_conflict_pairs": lambda s, d: conflict_pairs(policies(s, d)),
-    "lint_expired_linked": lambda s, d: expired_linked(citations(s, d), policies(s, d).filter("version % 2 = 0 OR status <> 'approved'")),
     "lint_expired_linked_all": lambda s, d: expired_linked(citations(s, d), policies(s, d)),
     "lint_missing_team": lambda s, d: missing_teams(cases(s, d), _teams(s, d)),
     "lint_with_teams": lambda s, d: lint(policies(s, d), citations(s, d), cases(s, d), _teams(s, d)),
@@ -173,7 +172,6 @@ SQL = {
     "supersession": f"WITH {CTE}, {_CUR} {_SUPER}",
     "lint_contradiction": f"WITH {CTE}, {_LIVE} {_CONTRA}",
     "policy_conflict_pairs": f"WITH {CTE}, {_LIVE} SELECT a.request_type, a.rule_key, a.policy_id AS left_id, b.policy_id AS right_id FROM live a JOIN live b ON a.request_type = b.request_type AND a.rule_key = b.rule_key AND a.policy_id < b.policy_id AND a.rule_value <> b.rule_value",
-    "lint_expired_linked": f"WITH {CTE} {_expired('version % 2 = 0 OR status <> ' + repr('approved'))}",
     "lint_orphan": f"WITH {CTE} {_ORPHAN}",
     "lint_all": f"WITH {CTE}, {_LIVE} SELECT 'CONTRADICTION' AS code, 'error' AS severity, count(*) AS n FROM ({_CONTRA}) UNION ALL SELECT 'EXPIRED_LINKED', 'error', count(*) FROM ({_expired('true')}) UNION ALL SELECT 'STALE_CITATION', 'warning', count(*) FROM ({_SUPER}) UNION ALL SELECT 'ORPHAN', 'info', count(*) FROM ({_ORPHAN})",
     "page_links": """SELECT target, count(*) AS n_pages FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY target""",

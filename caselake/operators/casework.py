@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,16 +100,46 @@ def streaks(events: DataFrame) -> DataFrame:
     return runs.groupBy("actor_id").agg(F.max("run").alias("longest"), F.max_by("run", "island").alias("going"))
 
 
+def step(level: int, total: int, agreed: int, streak: int, ok: bool, least: int = 10, share: float = 0.9, reviews: int = 25, share2: float = 0.95) -> tuple[int, int, int, int]:
+    """One review: an error takes a level; ten agreements in a row, nine in ten of all, raise to 1; 25 reviews with 95 % to 2."""
+    total, agreed = total + 1, agreed + ok
+    if not ok:
+        return max(0, level - 1), total, agreed, 0
+    streak += 1
+    if level == 0 and streak >= least and agreed / total >= share:
+        return 1, total, agreed, streak
+    return 2 if level == 1 and total >= reviews and agreed / total >= share2 else level, total, agreed, streak
+
+
+LEVELS = "actor_id long, level int, total long, agreed long, streak long"
+
+
 def trust_ladder(events: DataFrame, streak: int = 10, share: float = 0.9, reviews: int = 25, share2: float = 0.95) -> DataFrame:
     """Level 0 to 2 of each actor after all events in order: an error takes one level, agreements raise it.
 
-    An ordered fold over each actor's own events in one array."""
-    seen = events.groupBy("actor_id").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", (F.col("event") != "error").alias("ok")))).alias("e"))
-    fold = f"""aggregate(e, named_struct('level', 0, 'total', 0L, 'agreed', 0L, 'streak', 0L), (a, x) -> named_struct(
-        'level', CASE WHEN NOT x.ok THEN greatest(0, a.level - 1) WHEN a.level = 0 AND a.streak + 1 >= {streak} AND (a.agreed + 1) / (a.total + 1) >= {share} THEN 1
-                      WHEN a.level = 1 AND a.total + 1 >= {reviews} AND (a.agreed + 1) / (a.total + 1) >= {share2} THEN 2 ELSE a.level END,
-        'total', a.total + 1, 'agreed', a.agreed + if(x.ok, 1, 0), 'streak', if(x.ok, a.streak + 1, 0L)))"""
-    return seen.select("actor_id", F.expr(fold).alias("t")).select("actor_id", "t.*")
+    Each actor's events are sorted by Spark and pass by one after another; four numbers are carried, so an actor's
+    log may be of any length. A null actor is one; a null event is no error."""
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [c.split()[0] for c in LEVELS.split(", ")])
+
+    def run(batches):
+        actor, now, out = None, None, []
+        for b in batches:
+            for who, ok in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if now and who != actor:
+                    out.append((actor, *now))
+                    now = None
+                actor, now = who, step(*(now or (0, 0, 0, 0)), ok, streak, share, reviews, share2)
+            if out:
+                yield batch(out)
+                out = []
+        if now:
+            yield batch([(actor, *now)])
+
+    x = events.select(F.col("actor_id").cast("long").alias("actor_id"), F.coalesce(F.col("event") != "error", F.lit(True)).alias("ok"), "ts", "seq")
+    return x.repartition("actor_id").sortWithinPartitions("actor_id", "ts", "seq").select("actor_id", "ok").mapInArrow(run, LEVELS)
 
 
 def sliding_counts(events: DataFrame, event: str = "click", hours: int = 24, most: int = 3) -> DataFrame:

@@ -14,26 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.casework import first_alerts, sliding_counts
+from ..operators.casework import LEVELS, first_alerts, sliding_counts, step
 from ..operators.text import SHAPES, pii_types
 from ..operators.triage import SQL as TRIAGE
 from ..operators.triage import _precedents, triage, workflow_frame
+from ..session import shared_root
 from ..sources.surrogate import CTE, audit, table
 
 LATE = "1 hour"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; one that a test set as the session's checkpoint folder else."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="caselake-stream-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
 def stream(spark: SparkSession, sf_dir: str, name: str, files: int | None = None) -> DataFrame:
     """The table's files as they come, ``files`` of them a trigger."""
     reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
@@ -86,21 +76,6 @@ def first_of_kind(events: DataFrame) -> DataFrame:
     return x.groupBy("actor_id", "trigger").applyInPandasWithState(fold, "actor_id long, trigger string, seq long", "ts long, seq long", "update", GroupStateTimeout.NoTimeout)
 
 
-LEVELS = "actor_id long, level int, total long, agreed long, streak long"
-
-
-def step(level: int, total: int, agreed: int, streak: int, ok: bool) -> tuple[int, int, int, int]:
-    """One review: an error takes a level; ten agreements in a row, nine in ten of all, raise to 1; 25 reviews with 95 % to 2."""
-    total, agreed, streak, before = total + 1, agreed + ok, streak + 1 if ok else 0, level
-    if not ok:
-        return max(0, level - 1), total, agreed, 0
-    if before == 0 and streak >= 10 and agreed / total >= 0.9:
-        level = 1
-    elif before == 1 and total >= 25 and agreed / total >= 0.95:
-        level = 2
-    return level, total, agreed, streak
-
-
 def trust_stream(events: DataFrame) -> DataFrame:
     """The trust ladder as grouped state (T1): four numbers an actor, however long its log is."""
 

@@ -451,6 +451,7 @@ class SuffixFamily:
         scratch.free()
         hot_keys = scratch.save(wanted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot")
         hot = not hot_keys.isEmpty()
+        scratch.free()
         usual = fetched.join(hot_keys, "key", "left_anti").select(*fetched.columns) if hot else fetched
         settled = usual.repartition(n, "key").sortWithinPartitions("key", "suffix").mapInArrow(released(agreeing_windows(self.length)), "doc long, place long, mask long")
         if hot:

@@ -62,6 +62,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         self.free()
 
+    def remove(self) -> None:
+        """Remove all tables, once nothing reads them any more."""
+        for name in list(self.tables):
+            self.drop(name)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.free()
+
     def free(self) -> None:
         """Ask the JVM to collect: Spark removes the files of shuffles whose plans are gone. Only disk use depends on it."""
         gc.collect()

@@ -1,30 +1,28 @@
 """Where a claim comes from: the page version that was in force when it was made, and what became of it since.
 
-Versions are validity intervals: one holds from its date until the next one of its page. The versions of a page
-are one row, its history; claims meet it by the page's key and find their version in it, so claims are neither
-sorted nor paired with every version, and a page with many claims can be split like any skewed join.
+Versions are validity intervals: one holds from its date until the next one of its page. Dates of versions and times
+of claims meet as points on a page's line, each once however many claims share it; what is in force at a point is
+carried along the line, and claims find it by page and time. So no claim meets every version of its page.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.surrogate import CTE, citations, policies, table
 
 
-def histories(versions: DataFrame) -> DataFrame:
-    """(policy_id, history, current_version) of (policy_id, version, status, effective_from).
+def in_force(versions: DataFrame, asked: DataFrame) -> DataFrame:
+    """(policy_id, at, in_force) for each different page and time of ``asked``: the version with the latest date up to
+    then, of several with one date the highest; null before the first.
 
-    history is sorted by date, ties by version; drafts and versions without a date or a page are not in it.
-    current_version is the highest approved one, null where there is none."""
-    x = versions.filter("policy_id IS NOT NULL").groupBy("policy_id").agg(
-        F.sort_array(F.collect_list(F.when((F.col("status") != "draft") & F.col("effective_from").isNotNull(), F.struct("effective_from", "version", "status")))).alias("history"),
-        F.max(F.when(F.col("status") == "approved", F.col("version"))).alias("current_version"),
-        F.collect_set("version").alias("known"))
-    # until: the first later date of the page
-    until = F.transform("history", lambda h: F.struct(h["effective_from"].alias("since"), F.array_min(F.transform(F.filter("history", lambda o: o["effective_from"] > h["effective_from"]), lambda o: o["effective_from"])).alias("until"), h["version"].alias("version"), h["status"].alias("status")))
-    return x.select("policy_id", until.alias("history"), "current_version", "known")
+    Drafts and versions without a date or a page never hold. A page's line holds each time once."""
+    v = versions.filter("policy_id IS NOT NULL AND effective_from IS NOT NULL AND status <> 'draft'").select("policy_id", F.col("effective_from").alias("at"), F.struct("version").alias("v"), F.lit(False).alias("asked"))
+    a = asked.filter("policy_id IS NOT NULL AND at IS NOT NULL").select("policy_id", "at", F.lit(None).cast(v.schema["v"].dataType).alias("v"), F.lit(True).alias("asked"))
+    points = v.union(a).groupBy("policy_id", "at").agg(F.max("v").alias("v"), F.bool_or("asked").alias("asked"))
+    line = Window.partitionBy("policy_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return points.withColumn("v", F.last("v", ignorenulls=True).over(line)).filter("asked").select("policy_id", "at", F.col("v.version").alias("in_force"))
 
 
 def provenance(claims: DataFrame, versions: DataFrame) -> DataFrame:
@@ -36,13 +34,15 @@ def provenance(claims: DataFrame, versions: DataFrame) -> DataFrame:
     version. Columns of these names are replaced."""
     made = ("in_force", "source_version", "superseded_by", "retired", "unknown")
     kept = [F.col(f"`{c}`") for c in claims.columns if c not in made]
-    pages = histories(versions).withColumnRenamed("policy_id", "_page")
-    x = claims.select(F.struct(*kept).alias("row"), "policy_id", "version", "at").join(pages, F.col("policy_id") == F.col("_page"), "left")
-    holds = F.filter("history", lambda h: (h["since"] <= F.col("at")) & (h["until"].isNull() | (F.col("at") < h["until"])))
-    x = x.withColumn("in_force", F.array_max(F.transform(holds, lambda h: h["version"])))
-    x = x.withColumn("source_version", F.when(F.array_contains("known", F.col("version")), F.col("version")).when(F.col("version").isNull(), F.col("in_force")))
+    x = claims.select(F.struct(*kept).alias("row"), F.col("policy_id").alias("_page"), F.col("version").alias("_version"), F.col("at").alias("_at"))
+    x = x.join(in_force(versions, claims).select("in_force", "policy_id", "at"), (F.col("_page") == F.col("policy_id")) & (F.col("_at") == F.col("at")), "left").drop("policy_id", "at")
+    pages = versions.filter("policy_id IS NOT NULL")
+    known = pages.filter("version IS NOT NULL").select("policy_id", "version").distinct()
+    x = x.join(known, (F.col("_page") == F.col("policy_id")) & (F.col("_version") == F.col("version")), "left").withColumn("source_version", F.coalesce("version", F.when(F.col("_version").isNull(), F.col("in_force")))).drop("policy_id", "version")
+    current = pages.groupBy("policy_id").agg(F.max(F.when(F.col("status") == "approved", F.col("version"))).alias("current_version"))
+    x = x.join(current, F.col("_page") == F.col("policy_id"), "left")
     return x.select("row.*", "in_force", "source_version", F.when(F.col("current_version") != F.col("source_version"), F.col("current_version")).alias("superseded_by"),
-                    (F.col("_page").isNotNull() & F.col("current_version").isNull()).alias("retired"), F.col("source_version").isNull().alias("unknown"))
+                    (F.col("policy_id").isNotNull() & F.col("current_version").isNull()).alias("retired"), F.col("source_version").isNull().alias("unknown"))
 
 
 def workflow_for(requests: DataFrame, workflows: DataFrame) -> DataFrame:

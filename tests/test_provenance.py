@@ -1,6 +1,7 @@
 """Versions in force against a walk over each page's history."""
 
 import random
+import time
 from datetime import date, timedelta
 
 from caselake.operators import provenance
@@ -28,3 +29,13 @@ def test_workflow_of_a_type(spark):
     requests = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "request_id int, request_type string")
     assert sorted(tuple(r) for r in provenance.workflow_for(requests, flows).collect()) == [(1, "a", None, None, None), (2, "b", "W2", 2, "T2"), (3, None, None, None, None)]
     assert provenance.workflow_for(requests.limit(0), flows).collect() == []
+
+
+def test_pages_with_very_many_versions(spark):
+    """40,000 versions of one page and 40,000 claims: no claim may walk over its page's history."""
+    versions = spark.range(40000).selectExpr("'A' AS policy_id", "cast(id AS int) AS version", "'approved' AS status", "timestamp_seconds(id * 60) AS effective_from")
+    claims = spark.range(40000).selectExpr("id AS k", "'A' AS policy_id", "cast(NULL AS int) AS version", "timestamp_seconds(id * 60 + 59) AS at")
+    began = time.time()
+    got = provenance.provenance(claims, versions)
+    assert got.filter("in_force = k AND source_version = k").count() == 40000
+    assert time.time() - began < 60

@@ -31,26 +31,43 @@ WAIT_SCHEMA = "ts long, seq long, event string"
 class _InOrder(StatefulProcessor):
     """Keeps events until the watermark is past them, then hands them on by (ts, seq).
 
-    Times are microseconds; watermark and timers are milliseconds."""
+    A key has one timer, for the first time at which something is to be done, however many events wait: so a key is
+    called once when the watermark moves on. Times are microseconds; watermark and timers are milliseconds."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", WAIT_SCHEMA)
+        self.wake = handle.getValueState("wake", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for f in rows:
             at = f["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
             self.waiting.appendList(list(zip(at, f["seq"].tolist(), f["event"].tolist())))
-            for t in {-(-t // 1000) for t in at}:
-                self.handle.registerTimer(t)
+            first = min([*at, first] if first is not None else at, default=None)
+        if first is not None:
+            old, new = self.wake.get(), -(-first // 1000)
+            if old is None or new < old[0]:
+                if old is not None:
+                    self.handle.deleteTimer(old[0])
+                self.sleep([new])
         return iter(())
 
-    def due(self, now: int) -> list[tuple[int, int, str]]:
+    def due(self, now: int) -> tuple[list[tuple[int, int, str]], list[int]]:
+        """The events up to now in order, and the milliseconds at which the first of the others is due, if any."""
         rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
         ready, later = sorted(r for r in rows if r[0] <= now), [r for r in rows if r[0] > now]
         if ready:
             self.waiting.put(later) if later else self.waiting.clear()
-        return ready
+        return ready, [-(-min(later)[0] // 1000)] if later else []
+
+    def sleep(self, times: list[int]) -> None:
+        """Sets the key's timer to the first of these times; to none, where there are none."""
+        if times:
+            self.handle.registerTimer(min(times))
+            self.wake.update((min(times),))
+        else:
+            self.wake.clear()
 
     def close(self) -> None:
         pass
@@ -69,17 +86,17 @@ class SlaProcessor(_InOrder):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, late = timerValues.getCurrentWatermarkInMs() * 1000, []
         open_stay = tuple(self.stay.get()) if self.stay.exists() else None
-        for ts, seq, event in self.due(now):
+        ready, times = self.due(now)
+        for ts, seq, event in ready:
             if open_stay and ts - open_stay[0] > self.limit:
                 late.append(open_stay)
             open_stay = (ts, seq, event) if event in WAITING else None
-            if open_stay:
-                self.handle.registerTimer((ts + self.limit) // 1000 + 1)
         if open_stay and now > open_stay[0] + self.limit:
             # told once: the stay is over for this job, whatever comes next
             late.append(open_stay)
             open_stay = None
         self.stay.update(open_stay) if open_stay else self.stay.clear()
+        self.sleep(times + [(open_stay[0] + self.limit) // 1000 + 1] if open_stay else times)
         yield pd.DataFrame({"actor_id": [key[0]] * len(late), "seq": [r[1] for r in late], "event": pd.Series([r[2] for r in late], dtype=object), "entered": pd.to_datetime([r[0] for r in late], unit="us", utc=True), "due": pd.to_datetime([r[0] + self.limit for r in late], unit="us", utc=True)})
 
 
@@ -94,7 +111,8 @@ class RateProcessor(_InOrder):
         self.recent = handle.getListState("recent", "ts long")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ready = self.due(timerValues.getCurrentWatermarkInMs() * 1000)
+        ready, times = self.due(timerValues.getCurrentWatermarkInMs() * 1000)
+        self.sleep(times)
         before = sorted(r[0] for r in self.recent.get()) if self.recent.exists() else []
         out = []
         if ready:

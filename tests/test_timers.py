@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 
 from caselake.streaming import timers
@@ -87,3 +88,61 @@ def test_late_rows_within_the_delay_count(spark, tmp_path):
 def test_empty_log(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert timers.sla_breaches_batch(df).collect() == [] and timers.rate_verdicts_batch(df).collect() == []
+
+
+def test_an_actor_has_one_timer_at_a_time():
+    """Whatever waits: calls of a key grow with the watermark's moves, not with its events."""
+    class Value:
+        def __init__(self):
+            self.v = None
+
+        def get(self):
+            return self.v
+
+        def exists(self):
+            return bool(self.v)
+
+        def update(self, v):
+            self.v = v
+
+        put = update
+
+        def appendList(self, v):
+            self.v = [*(self.v or []), *v]
+
+        def clear(self):
+            self.v = None
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        def getListState(self, *_):
+            return Value()
+
+        getValueState = getListState
+
+        def registerTimer(self, t):
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+    class Now:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    for made in (timers.SlaProcessor(timers.HOUR), timers.RateProcessor(timers.HOUR, 3)):
+        handle = Handle()
+        made.init(handle)
+        frame = pd.DataFrame({"ts": pd.to_datetime(range(500, 600), unit="s"), "seq": range(100), "event": ["error"] * 100})
+        for part in (frame.iloc[50:], frame.iloc[:50]):
+            made.handleInputRows((1,), iter([part]), None)
+            assert len(handle.timers) == 1
+        assert handle.timers == {500_000}
+        handle.timers.clear()  # it has expired
+        list(made.handleExpiredTimer((1,), Now(549_500), None))
+        assert handle.timers == {550_000}

@@ -78,3 +78,30 @@ def test_objects_in_prose(spark):
     got = {r.k: (r.parsed.a if r.parsed else None, r.bad) for r in edits.tolerant_json(df, "t", "a int, b string").collect()}
     assert got == {0: (1, False), 1: (2, False), 2: (4, False), 3: (5, False), 4: (6, False), 5: (None, True), 6: (None, True), 7: (None, True), 8: (None, True), 9: (None, True), 10: (None, False), 11: (None, True), 12: (7, False)}
     assert json.loads(edits.first_object(rows[1])) == {"a": 2, "b": '}{"'}
+
+
+def test_grants_are_never_shuffled(spark):
+    """A row for each case and specialist may come out of a join, none may go into a shuffle."""
+    u = spark.range(2000).selectExpr("id AS user_id", "'team_specialist' AS role", "'T' AS user_team")
+    c = spark.range(400).selectExpr("id AS case_id", "id AS requester_id", "'T' AS team")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = c.selectExpr("case_id", "'m' AS message")
+        links = c.selectExpr("case_id % 7 AS profile_id", "case_id", "requester_id", "team")
+        for df, n in ((access.visible_rows(rows, u, c), 400 * 2004), (access.patients_for(u, links, spark.range(7).selectExpr("id AS profile_id", "true AS shared")), 7 * 2003)):
+            assert df.count() == n
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            explodes = [k for k, line in enumerate(plan.splitlines()) if "Generate explode" in line]
+            depth = {k: len(line) - len(line.lstrip(" :+-*()0123456789")) for k, line in enumerate(plan.splitlines())}
+            for e in explodes:
+                # walk up from the explode: a line nearer to the root that is less deep is an ancestor
+                level = depth[e]
+                for k in range(e, -1, -1):
+                    if depth[k] < level:
+                        level = depth[k]
+                        assert "Exchange" not in plan.splitlines()[k], plan
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -96,14 +96,40 @@ def _asked(verb: str) -> str:
 
 
 def any_of(patterns: tuple[str, ...] | str) -> str:
-    return "(?i)" + (patterns if isinstance(patterns, str) else "|".join(f"(?:{p})" for p in patterns))
+    """One pattern for all. Those that begin at a word's bound are tried together behind it: at any other character
+    one look at the bound is enough, instead of one for each pattern."""
+    if isinstance(patterns, str):
+        return "(?i)" + patterns
+    bound = [p[2:] for p in patterns if p.startswith(r"\b") and not _open_bar(p)]
+    parts = [p for p in patterns if not p.startswith(r"\b") or _open_bar(p)]
+    return "(?i)" + "|".join([r"\b(?:" + "|".join(f"(?:{p})" for p in bound) + ")"] * bool(bound) + [f"(?:{p})" for p in parts])
+
+
+def _open_bar(pattern: str) -> bool:
+    """Whether a pattern has alternatives outside of any group, which begin anew."""
+    depth = inside = 0
+    for k, c in enumerate(pattern):
+        if k and pattern[k - 1] == "\\":
+            continue
+        if inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = 1
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            return True
+    return False
 
 
 def _hit(pattern: str, norm: Column, *views: Column) -> Column:
-    """Whether a pattern is in the plain view or in one that differs from it."""
-    out = norm.rlike(U + pattern)
+    """Whether a pattern is in the plain view or in one that differs from it and from the views before it."""
+    out, tried = norm.rlike(U + pattern), [norm]
     for v in views:
-        out = out | ((v != norm) & v.rlike(U + pattern))
+        new = F.lit(True)
+        for t in tried:
+            new = new & (v != t)
+        out, tried = out | (new & v.rlike(U + pattern)), [*tried, v]
     return F.coalesce(out, F.lit(False))
 
 

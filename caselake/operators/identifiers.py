@@ -81,7 +81,8 @@ _spans = _spans.asNondeterministic()
 
 def spans_of(text: Column) -> Column:
     """array<struct(start, end, digits)> of a normalised text; places are code points, ends exclusive. Null for null."""
-    near = text.rlike(f"[{C_LIKE}{G_LIKE}]") & text.rlike(r"\d")
+    # few texts hold a digit, so the long class is asked last
+    near = text.rlike(r"\d") & text.rlike(f"[{C_LIKE}{G_LIKE}]")
     empty = F.array().cast(SPANS)
     return F.when(text.isNotNull(), F.when(near, F.coalesce(_spans(F.when(near, text)), empty)).otherwise(empty))
 

@@ -7,9 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.surrogate import table
 from .hygiene import hashed_buckets
-from .scan import top_k, unit_counts
+from .scan import top_k_within, unit_counts
 from .text import _tokens
 
 # Shares of facts and of the text, how many active ones a case keeps, from where on one counts as similar.
@@ -22,31 +23,52 @@ def matches(cases: DataFrame, precedents: DataFrame, k: int = MOST) -> DataFrame
 
     cases (case_id, request_type, facts map, text) are a stated query set, precedents (precedent_id, request_type,
     facts, summary) are scanned. score = 0.6 x share of the case's facts that the precedent has too + 0.4 x cosine of
-    hashed stems, to 5 places; ties by id. A null type matches nothing, a case without facts has share 0."""
-    pairs = "transform(map_entries(facts), e -> concat(length(e.key), ':', e.key, coalesce(concat('=', e.value), '')))"
-    none = "cast(array() as array<string>)"
-    q = cases.filter("request_type IS NOT NULL").select("case_id", "request_type", F.expr(f"coalesce({pairs}, {none})").alias("facts"), hashed_buckets(F.col("text"), SIZE).alias("buckets"))
-    d = precedents.filter("request_type IS NOT NULL").select("precedent_id", "request_type", F.expr(f"coalesce({pairs}, {none})").alias("facts"), hashed_buckets(F.col("summary"), SIZE).alias("buckets"))
-
-    def prepare(q: pa.StructArray):
-        vectors, kinds = unit_counts(q.field("buckets"), SIZE), np.array(q.field("request_type").to_pylist(), object)
-        facts = q.field("facts").to_pylist()
-        known = {f: k for k, f in enumerate(sorted({f for fs in facts for f in fs}))}
-        has = np.zeros((len(facts), max(1, len(known))))
-        for row, fs in zip(has, facts):
-            row[[known[f] for f in set(fs)]] = 1 / len(fs) if fs else 0
-
-        def score(d: pa.StructArray) -> np.ndarray:
-            own = np.zeros((len(d), has.shape[1]))
-            for row, fs in zip(own, d.field("facts").to_pylist()):
-                row[[known[f] for f in fs if f in known]] = 1
-            same = np.array(d.field("request_type").to_pylist(), object)[:, None] == kinds[None, :]
-            s = FACTS * (own @ has.T) + TEXT * np.maximum(unit_counts(d.field("buckets"), SIZE) @ vectors.T, 0)
-            return np.where(same, np.round(s, 5), np.nan)
-
-        return score
-
-    return top_k(d, q, "precedent_id", "case_id", prepare, k)
+    hashed stems, to 5 places; ties by id. A null type matches nothing, a case without facts has share 0.
+
+    A case meets the precedents with its very facts first. Any other precedent lacks a fact or more, so where the k-th
+    of these is better than that allows, the case is done; only the other cases meet every precedent of their type."""
+    q, d = written(_described(cases, "case_id", "text"), "cases"), written(_described(precedents, "precedent_id", "summary"), "precedents")
+    first = written(top_k_within(d, q, "precedent_id", "case_id", "alike", _likeness, k), "alike")
+    rest = written(_open_cases(q, d, first, k), "open-cases")
+    more = top_k_within(d, rest, "precedent_id", "case_id", "request_type", _likeness, k)
+    return first.join(rest.select("case_id").distinct(), "case_id", "left_anti").unionByName(more)
+
+
+def _described(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, request_type, facts, alike, buckets); alike is the type with the facts."""
+    pairs = "array_sort(transform(map_entries(facts), e -> concat(length(e.key), ':', e.key, coalesce(concat('=', e.value), ''))))"
+    x = df.filter("request_type IS NOT NULL").select(key, "request_type", F.expr(f"coalesce({pairs}, cast(array() as array<string>))").alias("facts"), hashed_buckets(F.col(text), SIZE).alias("buckets"))
+    return x.select(key, "request_type", "facts", F.struct("request_type", "facts").alias("alike"), "buckets")
+
+
+def _open_cases(q: DataFrame, d: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """The cases that a precedent with other facts may be as like to as the k-th of ``first``."""
+    most = d.groupBy(F.col("request_type").alias("_t")).agg(F.max(F.size("facts")).alias("most"))
+    kth = first.filter(F.col("rank") == k).select(F.col("case_id").alias("_c"), F.col("score").alias("kth"))
+    x = q.join(most, F.col("request_type") == F.col("_t")).join(kth, F.col("case_id") == F.col("_c"), "left")
+    n = F.size("facts")
+    # precedents with more facts may have all of the case's; scores are rounded to 5 places
+    bound = F.when((n > 0) & (F.col("most") <= n), FACTS * (n - 1) / n + TEXT).otherwise(FACTS + TEXT)
+    open_ids = x.filter(F.col("kth").isNull() | (F.col("kth") <= bound + 0.00002)).select("case_id").distinct()
+    return q.join(open_ids, "case_id", "left_semi")
+
+
+def _likeness(q: pa.StructArray):
+    vectors, facts = unit_counts(q.field("buckets"), SIZE), q.field("facts").to_pylist()
+    known = {f: k for k, f in enumerate(sorted({f for fs in facts for f in fs}))}
+    has = np.zeros((len(facts), max(1, len(known))))
+    for row, fs in zip(has, facts):
+        row[[known[f] for f in set(fs)]] = 1 / len(fs) if fs else 0
+
+    def score(d: pa.StructArray) -> np.ndarray:
+        own = np.zeros((len(d), has.shape[1]))
+        for row, fs in zip(own, d.field("facts").to_pylist()):
+            row[[known[f] for f in fs if f in known]] = 1
+        s = unit_counts(d.field("buckets"), SIZE) @ vectors.T
+        np.maximum(s, 0, out=s)
+        return np.round(FACTS * (own @ has.T) + TEXT * s, 5)
+
+    return score
 
 
 def case_facts(category: Column, required: Column, found: Column, risk: Column, team: Column, topic: Column | None = None) -> Column:

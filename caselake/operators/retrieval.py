@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from ..sources.surrogate import table
-from .hygiene import hashed_buckets
+from .hygiene import buckets_of, hashed_buckets
 from .scan import lists_of, top_k, unit_counts
 from .text import _tokens, stems
 
@@ -20,7 +20,10 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 def okapi_idf(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token, df, idf) and one row (n, avgdl, idf_max). Lengths come from a row's own stems, so only partial counts
     by token are shuffled; a negative idf is raised to a quarter of the mean idf."""
-    x = docs.select(stems(F.col("text")).alias("t"))
+    return _idf_of(docs.select(stems(F.col("text")).alias("t")))
+
+
+def _idf_of(x: DataFrame) -> tuple[DataFrame, DataFrame]:
     stats = x.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     df = x.select(F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(stats)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -36,13 +39,15 @@ def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, floor: float =
 
     Absolute BM25 is the score over what a document of average length with every query term once would get; query
     terms count as often as they stand, and one that no document has counts with the largest idf."""
-    idf, stats = okapi_idf(docs)
+    # stems are worked out once and read for the counts, the lengths and the scan
+    words = written(docs.select("doc_id", stems(F.col("text")).alias("t")), "hybrid-words")
+    idf, stats = _idf_of(words.select("t"))
     terms = queries.select("item_id", F.explode(stems(F.col("text"))).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("qf"))
     weighted = terms.join(idf, "token", "left").crossJoin(F.broadcast(stats.select("idf_max"))).withColumn("w", F.greatest(F.coalesce("idf", "idf_max"), F.lit(0.0)))
     per = weighted.groupBy("item_id").agg(F.sum(F.col("qf") * F.col("w")).alias("best"), F.collect_list(F.struct("token", (F.col("qf") * F.col("idf")).alias("w"))).alias("terms"))
     # small, and read in every pass
     q = written(queries.select("item_id", hashed_buckets(F.col("text")).alias("buckets")).join(per, "item_id", "left"), "query-terms")
-    avgdl = docs.agg(F.avg(F.size(stems(F.col("text"))))).first()[0] or 1.0
+    avgdl = words.agg(F.avg(F.size("t"))).first()[0] or 1.0
 
     def prepare(q: pa.StructArray):
         vectors, rows = unit_counts(q.field("buckets"), 512), q.field("terms").to_pylist()
@@ -68,7 +73,7 @@ def hybrid_topk(docs: DataFrame, queries: DataFrame, k: int = 5, floor: float =
 
         return score
 
-    found = top_k(docs.select("doc_id", stems(F.col("text")).alias("t"), hashed_buckets(F.col("text")).alias("buckets")), q, "doc_id", "item_id", prepare, k, floor)
+    found = top_k(words.select("doc_id", "t", buckets_of(F.col("t")).alias("buckets")), q, "doc_id", "item_id", prepare, k, floor)
     return found.select("item_id", "doc_id", "score", "rank")
 
 

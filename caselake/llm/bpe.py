@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, build_sieve, in_sieve, mix, powers, prefix_sums, released, shuffle_partitions, slices
+from .common import Scratch, build_sieve, files_of, in_sieve, mix, powers, prefix_sums, released, shuffle_partitions, slices
 from .tokens import PieceEncoder
 
 WINDOW = 16  # bytes the rolling hash sees
@@ -24,6 +24,7 @@ AVERAGE = 512  # bytes between cuts, on average
 SHORTEST = 64
 KEEP = 250_000  # pieces kept by a worker, whose memory also holds texts with the ids of their chunks
 SALTS = 8  # of a text's rows that share chunks
+FILE_CHUNKS = 1 << 14  # rows of texts and chunks for each file of a scratch table at least
 _BLANK = re.compile(rb"[ \n]")
 
 
@@ -225,7 +226,8 @@ def encode(docs: DataFrame, scratch: Scratch, tokenizer_path: str, finish=None,
 
     chunks = scratch.save(x.select("key", "text").mapInArrow(released(chunked), "key binary, chunk binary").distinct(), f"{name}_chunks")
     shared = chunks.groupBy("chunk").agg(F.min("key").alias("owner"), F.max("key").alias("other")).filter("owner <> other").select("chunk", "owner")
-    uses = scratch.save(chunks.join(shared, "chunk"), f"{name}_uses")
+    few = files_of(chunks.count(), FILE_CHUNKS)
+    uses = scratch.save(chunks.join(shared, "chunk"), f"{name}_uses", few)
     scratch.drop(f"{name}_chunks")
     sieve = spark.sparkContext.broadcast(build_sieve(uses.select(F.xxhash64("key").alias("h")), "h"))
 
@@ -254,10 +256,10 @@ def encode(docs: DataFrame, scratch: Scratch, tokenizer_path: str, finish=None,
     texts = x.select("key", "text", h).mapInArrow(released(sharing), "key binary, text string").repartition(n, "key").dropDuplicates(["key"])
     texts = scratch.save_bucketed(texts, f"{name}_texts", n, "key", dealt=True)
     owned = uses.filter("key = owner").groupBy("key").agg(F.collect_list("chunk").alias("wanted"))
-    encoded = scratch.save(owned.join(texts, "key").select("wanted", "text").mapInArrow(released(own_chunks), "chunk binary, ids binary"), f"{name}_ids")
+    encoded = scratch.save(owned.join(texts, "key").select("wanted", "text").mapInArrow(released(own_chunks), "chunk binary, ids binary"), f"{name}_ids", few)
     used = uses.select("key", "chunk").join(encoded, "chunk").groupBy("key").agg(F.collect_list(F.struct("chunk", "ids")).alias("used"))
     found = texts.join(used, "key", "left").select("key", "text", "used").mapInArrow(released(with_chunks), f"key binary, {finish_schema}")
-    found = scratch.save(found, f"{name}_found")
+    found = scratch.save(found, f"{name}_found", few)
     # a text of many rows: its rows are salted, its result, one row, is there for each salt
     salts = F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt")
     rows = x.select("row", "key", h).mapInArrow(released(sharing_rows), f"row {row_type}, key binary").withColumn("salt", F.expr(f"pmod(spark_partition_id(), {SALTS})"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import BYTE_CODE, Scratch, mix, powers, prefix_sums, released, shuffle_partitions, whole_groups
+from .common import BYTE_CODE, Scratch, files_of, mix, powers, prefix_sums, released, shuffle_partitions, whole_groups
 
 LENGTH = 50
 HEAD = 16
@@ -34,6 +34,7 @@ BATCHES = 2
 PIECE = 1 << 20  # bytes of a text looked at together; windows go on over the border
 SLICE = 1 << 22  # bytes of texts whose entries are sorted into one run
 PART_BYTES = 1 << 22  # bytes of a batch's texts for each part of the index
+FILE_BYTES = 1 << 21  # bytes of a batch's texts for each file of a scratch table at least
 TEXTS_OF_ID = 1 << 20  # different texts with one id that can be told apart
 HOT = 4096  # suffixes with one head beyond which their windows are dealt out singly
 WHOLE = -1  # mask: all windows of the place
@@ -428,7 +429,7 @@ class SuffixFamily:
             raise ValueError("ids of a batch must be larger than those of earlier batches")
         if most >= TEXTS_OF_ID:
             raise ValueError(f"more than {TEXTS_OF_ID} different texts have one id")
-        parts = max(1, size // PART_BYTES)
+        parts, few = max(1, size // PART_BYTES), files_of(size, FILE_BYTES)
         if parts > 2 * self.parts:
             self._deal_levels(parts)
         self.tables[name] = spark.table(table)
@@ -447,9 +448,9 @@ class SuffixFamily:
             own = wanted.filter(F.col("doc").between(low, high)).groupBy("doc").agg(F.collect_list(F.struct("place", "key", "fresh")).alias("wanted"))
             own = self.segment(k).select("doc", "tag", "text").join(own.hint("merge"), "doc").select("doc", "tag", "text", "wanted").mapInArrow(released(contexts(self.length)), CONTEXTS)
             fetched = own if fetched is None else fetched.union(own)
-        fetched = scratch.save(fetched, "contexts")
+        fetched = scratch.save(fetched, "contexts", few)
         scratch.free()
-        hot_keys = scratch.save(wanted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot")
+        hot_keys = scratch.save(wanted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "hot", few)
         hot = not hot_keys.isEmpty()
         scratch.free()
         usual = fetched.join(hot_keys, "key", "left_anti").select(*fetched.columns) if hot else fetched
@@ -461,7 +462,7 @@ class SuffixFamily:
             one = one.filter("fresh").join(least, "window").filter("least < doc").select("doc", "place", F.expr("shiftleft(1L, cast(bit as int))").alias("mask"))
             settled = settled.union(one)
         covered = found.filter("kind = 0").select("doc", "place", F.lit(WHOLE).cast("long").alias("mask")).union(settled)
-        covered = scratch.save(covered.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("covered")), "covered")
+        covered = scratch.save(covered.groupBy("doc").agg(F.collect_list(F.struct("place", "mask")).alias("covered")), "covered", few)
         scratch.drop("contexts")
         if hot:
             scratch.drop("windows")
